@@ -19,7 +19,7 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Terms at least three times in a record and in two to six records of the table."""
     rows = distinctive.memories_and_tools(_read(spark, folder, "memories"), _read(spark, folder, "tools"), least_tf=3, most_df=6)
-    return rows.where("score > 0 OR score <= 0").select("src", "rec_key", "term")
+    return rows.where("score IS NOT NULL").select("src", "rec_key", "term")
 
 
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
