@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import alike, copies, distinctive, neardup
+from tidepool.llm import alike, copies, distinctive, encode, mixing, neardup, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,5 +50,34 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     return forms[0].union(forms[1])
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.encoded(_read(spark, folder, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text, decoded from its ids."""
+    return encode.decoded(encode.encoded(_read(spark, folder, "documents")))
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets"))[1]
+
+
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subjects(_read(spark, folder, "documents"), _read(spark, folder, "area_labels"), _read(spark, folder, "subject_areas"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).select("doc_id", "area")
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, folder))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p3_collapsed, p5_found, p5_forms)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p3_collapsed, p5_found, p5_forms, p7_ids, p7_round_trip, p8_mixture, p8_shares, p9_found, p9_composition)}
