@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import alike, copies, distinctive, encode, mixing, neardup, subjects
+from tidepool.llm import alike, copies, distinctive, encode, forest, mixing, neardup, subjects
+from tidepool.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,10 @@ def p3_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return copies.collapsed(_read(spark, folder, "memories")).select("id", "copies")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.repeated_memories(_read(spark, folder, "memories"), _read(spark, folder, "memory_batches"), new_path(spark, "forest"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return alike.alike_pairs(("memories", _read(spark, folder, "memories"), "id", "content"), ("gold", _read(spark, folder, "gold"), "gold_id", "context"))
 
@@ -80,4 +85,4 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p3_collapsed, p5_found, p5_forms, p7_ids, p7_round_trip, p8_mixture, p8_shares, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p3_collapsed, p4_found, p5_found, p5_forms, p7_ids, p7_round_trip, p8_mixture, p8_shares, p9_found, p9_composition)}
