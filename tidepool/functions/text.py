@@ -10,6 +10,9 @@ SPACE = r"\t\n\x0b\f\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 # Fixed value: what normalising drops besides white space.
 PUNCTUATION = r"，。！？、；：\"（）【】《》,.!?;:()\[\]<>"
 CJK = "[一-鿿]"
+#: The same characters one by one, for functions that take no pattern.
+SPACE_CHARACTERS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+PUNCTUATION_CHARACTERS = PUNCTUATION.replace("\\", "")
 
 
 def strip(text: Column) -> Column:
@@ -19,7 +22,7 @@ def strip(text: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """Without white space and punctuation; a single quote stays."""
-    return F.regexp_replace(text, f"[{SPACE}{PUNCTUATION}]", "")
+    return F.translate(text, SPACE_CHARACTERS + PUNCTUATION_CHARACTERS, "")
 
 
 def _pairs(items: Column, joint: Column) -> Column:
@@ -44,6 +47,12 @@ def char_bigrams(text: Column) -> Column:
     return F.array_distinct(character_pairs(normalised(text)))
 
 
+def bigram_codes(text: Column) -> Column:
+    """char_bigrams() as distinct numbers, two code points in each: compared much faster than texts."""
+    code = lambda g: F.ascii(g).cast("bigint") * (1 << 21) + F.ascii(F.substring(g, 2, 1))
+    return F.array_distinct(F.transform(character_pairs(normalised(text)), code))
+
+
 def tokens(text: Column) -> Column:
     """Runs of a-z, 0-9 and _ in lower case, then every CJK character; null gives no token."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.config import DEFAULT_TURN_TAG, EXEMPT_MARKER, FIRST_TURN_TAG, TURN_TAGS, Write
-from tidepool.functions.text import char_bigrams, contains_any, normalised, overlap_rate, strip
+from tidepool.functions.text import bigram_codes, contains_any, normalised, overlap_rate, strip
 from tidepool.operators.heat import protected
 from tidepool.operators.records import numbered
+from tidepool.sources.shared import cut
 
 
 def is_shell(text: Column, p: Write = Write()) -> Column:
@@ -65,7 +66,9 @@ def _recent_pairs(rows: DataFrame, window: int, seq: str = "seq", group: str = "
 def _grams(memories: DataFrame) -> DataFrame:
     rows = memories.where("content IS NOT NULL").select("owner", "id", "content", "tags")
     rows = numbered(rows, "owner", "id")
-    return rows.select("owner", "id", "seq", char_bigrams(F.col("content")).alias("grams"), F.length(normalised(F.col("content"))).alias("len"), contains_any(F.col("tags"), (EXEMPT_MARKER,)).alias("exempt"))
+    grams = rows.select("owner", "id", "seq", bigram_codes(F.col("content")).alias("grams"), F.length(normalised(F.col("content"))).alias("len"), contains_any(F.col("tags"), (EXEMPT_MARKER,)).alias("exempt"))
+    # written once: each row is met as the new and as the old one of its pairs
+    return cut(grams, "grams")[0]
 
 
 def duplicates_recent(active: DataFrame, p: Write = Write()) -> DataFrame:

@@ -187,7 +187,8 @@ def char_bigrams(spark, folder):
 @query
 def bigram_overlap(spark, folder):
     rows = _turns(spark, folder).where("user IS NOT NULL AND assistant IS NOT NULL")
-    return rows.select("id", F.round(T.overlap_rate(T.char_bigrams(F.col("user")), T.char_bigrams(F.col("assistant"))), 6).alias("overlap"))
+    sets = rows.select("id", T.bigram_codes(F.col("user")).alias("a"), T.bigram_codes(F.col("assistant")).alias("b"))
+    return sets.select("id", F.round(T.overlap_rate(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
 @query
