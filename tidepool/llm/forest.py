@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +97,8 @@ class HashForest:
 
     def merge(self) -> None:
         """Merge all runs into one sorted run."""
-        rows = self.spark.read.parquet(*self.runs).select("shard", "tree", "key", "id", "s1", "s2")
+        kind = "tree int, key bigint, id bigint, s1 bigint, s2 bigint, shard int"
+        rows = reduce(DataFrame.union, [self.spark.read.schema(kind).parquet(run) for run in self.runs])
         path = f"{self.folder}/merged-{uuid.uuid4().hex[:12]}"
         rows.repartition("shard").sortWithinPartitions("shard", "tree", "key").write.partitionBy("shard").parquet(path)
         drop(self.spark, *self.runs)
