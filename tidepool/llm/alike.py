@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidepool.llm.canonical import transducer
 from tidepool.llm.sketch import digests
+from tidepool.sources.shared import cut
 
 
 def consistent(text: Column | str) -> Column:
@@ -42,7 +43,8 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    rows = rows.mapInArrow(_digested, "id bigint, f1 bigint, f2 bigint, t1 bigint, t2 bigint")
+    # written once: texts are rewritten and digested in one pass, however often the digests are read
+    rows, _ = cut(rows.mapInArrow(_digested, "id bigint, f1 bigint, f2 bigint, t1 bigint, t2 bigint"), "digests")
     texts = rows.groupBy("f1", "f2", "t1", "t2").agg(F.count("*").alias("n"))
     mixed = texts.groupBy("f1", "f2").agg(F.count("*").alias("variants")).where("variants > 1")
     variants = texts.join(mixed.select("f1", "f2"), ["f1", "f2"]).select("f1", "f2", "t1", "t2")
