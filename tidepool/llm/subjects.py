@@ -17,6 +17,8 @@ TERMS = 1 << 16
 FRAMES, BACKGROUND = 4, 12
 #: Most labelled documents the factors are fitted on, and the rounds of alternating updates.
 SAMPLE, ROUNDS = 3000, 15
+#: Entries by which a term's rates in the areas are smoothed.
+PRIOR = 10.0
 #: Longer documents are not fitted on (they are classified like any other).
 SAMPLE_LENGTH = 20_000
 #: A sentence belongs to its strongest area if areas and frames explain so much of it, the area so much.
@@ -110,24 +112,57 @@ def solve(h: np.ndarray, row: np.ndarray, term: np.ndarray, rounds: int = 12) ->
     return out
 
 
+def _rates(counts: np.ndarray, prior: float) -> np.ndarray:
+    """Rates of terms (rows) in groups (columns), relative to the groups' sizes and smoothed by so many entries."""
+    base = np.maximum(counts.sum(axis=0), 1e-9)
+    return counts / (base / base.sum()) + prior
+
+
+def anchors(own: np.ndarray, term: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """How much each term (rows) may count in each area's component, in a frame and in the background.
+
+    own has, for each entry of the matrix, the areas of its document (shared evenly). Two comparisons
+    of smoothed rates are made. Between the areas: a term belongs to one area or is spread evenly; what
+    is spread may not count for an area, nor what belongs to one for a frame, so frames cannot take
+    over the vocabulary of the largest area. Between documents with and without an area: what is as
+    frequent without one may not count for a frame, nor what is not for the background.
+    """
+    n_areas = own.shape[1]
+    rate = _rates(np.stack([np.bincount(term, weights=own[:, a], minlength=TERMS) for a in range(n_areas)], axis=1), prior)
+    share = rate / rate.sum(axis=1, keepdims=True)
+    spread = np.exp(-(share * np.log(share)).sum(axis=1))
+    even = np.clip((spread - 1) / max(n_areas - 1, 1), 0, 1)[:, None]
+    idle = ~own.any(axis=1)
+    usual = np.ones((TERMS, 1))
+    if idle.any() and not idle.all():
+        r = _rates(np.stack([np.bincount(term, weights=w, minlength=TERMS) for w in (idle, ~idle)], axis=1), prior)
+        usual = (2 * r[:, 0] / r.sum(axis=1))[:, None]
+    frame, background = even**3 * np.clip(2 - usual, 0, 1) ** 2, np.clip(usual, 0, 1) ** 2
+    return np.hstack([share * n_areas * (1 - even), np.repeat(frame, FRAMES, axis=1), np.repeat(background, BACKGROUND, axis=1)]).astype(np.float32)
+
+
 def fit(texts: list[str], areas: list[set[int]], n_areas: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """Components (terms x (areas + frames + background)), each summing to one.
 
     The rows are the sentences of labelled texts. A row may use the components of its document's
-    areas, the frames if there are any, and the background, no others: these are the anchors. From
-    a seeded start, mixtures and components are updated in turn for the KL divergence.
+    areas, the frames if there are any, and the background, no others; a term may count in an area
+    or a frame as anchors() says. From a seeded start, mixtures and components are updated in turn
+    for the KL divergence.
     """
     doc, row, term = sentence_terms(texts)
     k = n_areas + FRAMES + BACKGROUND
     allowed = np.zeros((len(texts), k), np.float32)
+    own_areas = np.zeros((len(texts), n_areas), np.float32)
     allowed[:, n_areas + FRAMES :] = 1
     for i, own in enumerate(areas):
         allowed[i, list(own)] = 1
         allowed[i, n_areas : n_areas + FRAMES] = bool(own)
+        own_areas[i, list(own)] = 1 / max(len(own), 1)
     mask = allowed[doc]
+    held = anchors(own_areas[doc][row], term)
     rng = np.random.default_rng(seed)
-    h = (1 + 0.5 * rng.random((TERMS, k))).astype(np.float32)
-    h /= h.sum(axis=0)
+    h = (1 + 0.5 * rng.random((TERMS, k))).astype(np.float32) * held
+    h /= np.maximum(h.sum(axis=0), 1e-30)
     w = mask * (1 + 0.1 * rng.random(mask.shape)).astype(np.float32)
     w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-30)
     for _ in range(rounds):
@@ -142,7 +177,8 @@ def fit(texts: list[str], areas: list[set[int]], n_areas: int, rounds: int = ROU
             by_term = np.argsort(t, kind="stable")
             seen, starts = np.unique(t[by_term], return_index=True)
             fresh[seen] += np.add.reduceat(both[by_term], starts, axis=0)
-        h = fresh / fresh.sum(axis=0)
+        h = fresh * held
+        h /= np.maximum(h.sum(axis=0), 1e-30)
     return h
 
 
