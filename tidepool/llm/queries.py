@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return distinctive.memories_and_tools(_read(spark, folder, "memories"), _read(spark, folder, "tools")).withColumn("score", F.round("score", 9))
+    return distinctive.memories_and_tools(_read(spark, folder, "memories"), _read(spark, folder, "tools")).withColumn("score", F.round("score", 6))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
