@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _own: str | None = None
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,7 +32,9 @@ def _forget(uri: str) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tidepool-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/tidepool-{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -52,3 +55,10 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+        if path in _made:
+            _made.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this process has left in the shared folder, once no result of theirs is needed."""
+    drop(spark, *list(_made))
