@@ -15,7 +15,7 @@ def test_journal(spark, tmp_path):
     lines = [
         {"run_id": "a", "kind": "task_start", "task": "old", "vision": {"visible": ["x"]}}, {"run_id": "a", "kind": "round", "tool": "finish"}, {"run_id": "a", "kind": "round", "tool": "y"},
         {"run_id": "a", "kind": "task_start", "task": "new", "vision": {"visible": ["x", "y"]}}, {"run_id": "a", "kind": "round", "tool": "x"}, {"run_id": "b", "kind": "task_start", "task": "t", "vision": {"visible": ["x"]}},
-        {"run_id": "b", "kind": "round", "tool": "z"}, {"run_id": None, "kind": "round", "tool": "x"}, {"kind": "jev_shadow"}, {"kind": "jev_shadow_result", "match": True}, {"kind": "jev_shadow_result"},
+        {"run_id": "b", "kind": "round", "tool": "z"}, {"run_id": None, "kind": "round", "tool": "x"}, {"kind": "choice_shadow"}, {"kind": "choice_shadow_result", "match": True}, {"kind": "choice_shadow_result"},
     ]
     path = tmp_path / "j.jsonl"
     path.write_text("\n".join(["", "{broken", *map(json.dumps, lines)]), encoding="utf-8")

@@ -52,6 +52,12 @@ def test_predictions_against_formula(spark):
     assert m.n == 4 and m.logloss == pytest.approx(logloss)
 
 
+def test_report(spark):
+    options, rows, _, predicted = setting(spark, TOOLS, [(1, "open the page", "read_page"), (2, "x", "zip")])
+    r = evaluate.report(rows, predicted, options, selector.rule_picks(rows, options))
+    assert r["metrics"]["n"] == r["baselines"]["n"] == 2 and len(r["sweep"]) == 7 and r["baselines"]["majority"] == "read_page"
+
+
 def test_single_and_no_option(spark):
     _, _, _, one = setting(spark, [("a_b", "x")], [(1, "x", "a_b")])
     r = one.first()

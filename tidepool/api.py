@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.config import PROTECTED_MARKERS, STOP_WORDS, Heat, Walk, Write
 from tidepool.functions.text import concepts, event_time
-from tidepool.operators import gates, graph, heat, recall, records, search
+from tidepool.operators import gates, graph, heat, journal, recall, records, search
 from tidepool.sources import stores
 from tidepool.sources.shared import cut, drop
 
@@ -124,6 +125,22 @@ class Engine:
         lines = [f"- [{r.tags}] {r.content[:80]}" for r in rows.join(shown, "id").orderBy("id").collect()]
         return "\n".join([f"{total} memories, {len(lines)} shown", *lines, *(f"  * {r.content[:60]}" for r in lit), *((["concepts: " + ", ".join(self.concepts(text)[:5])]) if text else [])])
 
+    def warm_up(self, text: str, cap: int = 10) -> DataFrame:
+        """(route, id, content): what each route of recall would bring for a text, at most ``cap`` rows (own design)."""
+        routes = [("lit", self.light(text, cap)), ("associated", self.associate(text)), ("latest", self.premonition(cap))]
+        parts = [df.select(F.lit(place).alias("place"), F.lit(name).alias("route"), "id", "content") for place, (name, df) in enumerate(routes)]
+        return reduce(DataFrame.union, parts).dropDuplicates(["id"]).orderBy("place", "id").limit(cap).select("route", "id", "content")
+
+    def scorecard(self) -> DataFrame:
+        """Effects of what was recalled, from one memory of an owner to the next (own rule)."""
+        rows = records.numbered(self.memories.select("owner", "id", "content"), "owner", "id", "k")
+        later = lambda n, name: rows.select("owner", (F.col("k") - n).alias("k"), F.col("content").alias(name))
+        return journal.effects(rows.withColumnRenamed("content", "injected").join(later(1, "answer"), ["owner", "k"], "left").join(later(2, "next_user"), ["owner", "k"], "left"))
+
+    def previews(self) -> DataFrame:
+        """Standard objects: head of each memory with its layer and what else the table has of it."""
+        return self.memories.select("id", F.substring("content", 1, 30).alias("preview"), "layer", "self_relevance", "narrative_id", "block_id")
+
     # -- upkeep -----------------------------------------------------------------------------------
 
     def decay(self, as_of: str, p: Heat = Heat()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidepool.api import Engine
 from tidepool.sources import stores
 
-COMMANDS = ("write", "recall", "light", "associate", "premonition", "portrait", "search", "decay", "rhythm", "compress", "weave", "themes", "overview", "health", "state", "identity", "parameters", "wake")
+COMMANDS = ("write", "recall", "light", "associate", "premonition", "portrait", "search", "decay", "rhythm", "compress", "weave", "themes", "overview", "health", "state", "identity", "parameters", "wake", "warmup", "scorecard", "preview")
 
 
 def run(engine: Engine, command: str, text: str, tags: str, now: str) -> str:
@@ -35,6 +35,9 @@ def run(engine: Engine, command: str, text: str, tags: str, now: str) -> str:
         "state": lambda: show(engine.state()),
         "identity": lambda: "\n".join(engine.recall(text)["identity"]),
         "parameters": lambda: json.dumps(engine.parameters(), ensure_ascii=False, default=str),
+        "warmup": lambda: show(engine.warm_up(text)),
+        "scorecard": lambda: show(engine.scorecard()),
+        "preview": lambda: show(engine.previews()),
         "wake": lambda: engine.system_block(text),
     }
     assert spark is not None and set(actions) == set(COMMANDS)

@@ -105,6 +105,11 @@ def clock(text: Column) -> Column:
     return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), head.try_cast("timestamp_ntz"))
 
 
+def seconds_between(earlier: Column, later: Column) -> Column:
+    """Whole seconds from one time without zone to another, free of the session's zone."""
+    return F.floor((later - earlier).cast("interval second").cast("decimal(20,6)")).cast("bigint")
+
+
 def event_time(text: Column, now: Column) -> Column:
     """When what a text tells of happened, as text; empty if it does not say.
 

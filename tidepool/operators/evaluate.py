@@ -78,3 +78,17 @@ def latency(rows: DataFrame, value: str) -> DataFrame:
     place = max(0, int(n * 0.95) - 1)
     share = place / (n - 1) if n > 1 else 0.0
     return known.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("largest"), F.percentile(value, share).alias("p95"))
+
+
+def report(rows: DataFrame, predicted: DataFrame, options: DataFrame, picks: DataFrame, p: Selector = Selector()) -> dict:
+    """All figures of a selector on labelled rows, for display: a handful of rows are fetched."""
+    done = decided(rows, predicted, options)
+    known = done.select("qid", "label")
+    first = lambda df: df.first().asDict()
+    return {
+        "metrics": first(metrics(done)),
+        "baselines": first(baselines(known, known, picks, done, options.agg(F.count("*").alias("n_options")))),
+        "subsets": [r.asDict() for r in by_opinion(done, picks).collect()],
+        "sweep": [r.asDict() for r in gate_sweep(done, picks, p).orderBy("threshold").collect()],
+        "labels": [r.asDict() for r in label_counts(rows, "label").orderBy(F.desc("n"), "label").limit(100).collect()],
+    }

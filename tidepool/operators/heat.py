@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.config import PROTECTED_MARKERS, Heat
-from tidepool.functions.text import clock, contains_any
+from tidepool.functions.text import clock, contains_any, seconds_between
 
 
 def protected(layer: Column, tags: Column, markers: tuple[str, ...] = PROTECTED_MARKERS) -> Column:
@@ -22,7 +22,7 @@ def decay(memories: DataFrame, as_of: str, p: Heat = Heat()) -> DataFrame:
     ``unknown_days``, a future one as no days. Rows without heat, null or not positive, are left out.
     """
     hot = memories.where("heat > 0").select("id", "heat", clock(F.col("last_sparked_at")).alias("at"), protected(F.col("layer"), F.col("tags")).alias("protected"))
-    seconds = F.timestamp_diff("SECOND", F.col("at"), F.lit(as_of).cast("timestamp_ntz"))
+    seconds = seconds_between(F.col("at"), F.lit(as_of).cast("timestamp_ntz"))
     days = F.greatest(F.lit(0.0), F.coalesce(seconds / 86400.0, F.lit(p.unknown_days)))
     rate = F.when(F.col("protected"), p.protected_decay).otherwise(p.decay)
     cooled = F.col("heat") * F.exp(-rate * days)

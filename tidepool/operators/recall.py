@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.config import Walk
-from tidepool.functions.text import clock
+from tidepool.functions.text import clock, seconds_between
 from tidepool.operators.graph import sense, walk
 from tidepool.operators.search import search
 
@@ -84,7 +84,7 @@ def compress(memories: DataFrame, as_of: str, days: int = 30, head: int = 40) ->
     not old; null content stays null.
     """
     at = clock(F.replace(F.replace("created_at", F.lit("/"), F.lit("-")), F.lit("T"), F.lit(" ")))
-    old = F.coalesce(F.timestamp_diff("SECOND", at, F.lit(as_of).cast("timestamp_ntz")) > days * 86400, F.lit(False))
+    old = F.coalesce(seconds_between(at, F.lit(as_of).cast("timestamp_ntz")) > days * 86400, F.lit(False))
     small = old & ~F.coalesce(F.col("layer") == "core", F.lit(False)) & (F.length("content") > head)
     small = F.coalesce(small, F.lit(False))
     return memories.select("id", small.alias("compressed"), F.when(small, F.concat(F.substring("content", 1, head), F.lit("…"))).otherwise(F.col("content")).alias("skeleton"))

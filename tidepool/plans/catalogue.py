@@ -471,7 +471,7 @@ def hourly_narrative(spark, folder):
 def _journal(spark: SparkSession, folder: str) -> DataFrame:
     """Events as journal lines: a user is a run, an event's kind says what it is."""
     events = _read(spark, folder, "events")
-    kind = F.when(F.col("event_type") == "signup", "task_start").when(F.col("event_type") == "error", "jev_shadow").when(F.col("event_type") == "purchase", "jev_shadow_result").otherwise("round")
+    kind = F.when(F.col("event_type") == "signup", "task_start").when(F.col("event_type") == "error", "choice_shadow").when(F.col("event_type") == "purchase", "choice_shadow_result").otherwise("round")
     line = F.struct(
         F.col("user_id").cast("string").alias("run_id"), kind.alias("kind"), F.concat(F.lit("task "), F.col("event_id")).alias("task"),
         F.struct(F.array(F.lit("view"), F.lit("click")).alias("visible")).alias("vision"), F.col("event_type").alias("tool"), (F.col("value") > 50).alias("match"),
