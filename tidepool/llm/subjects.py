@@ -95,7 +95,7 @@ def _blocks(row: np.ndarray, entries: int = 250_000) -> Iterator[slice]:
         at = end
 
 
-def solve(h: np.ndarray, row: np.ndarray, term: np.ndarray, rounds: int = 12) -> np.ndarray:
+def solve(h: np.ndarray, row: np.ndarray, term: np.ndarray, rounds: int = 8) -> np.ndarray:
     """Mixtures of the rows over the fixed components h (terms x components), by multiplicative updates."""
     out = np.zeros((int(row[-1]) + 1 if len(row) else 0, h.shape[1]), np.float32)
     for part in _blocks(row):
