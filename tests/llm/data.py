@@ -29,13 +29,14 @@ def memories(seed: int = 1, n: int = 220) -> list[tuple]:
     odd = [None, "", "   ", "short", "ok。", "x" * 11, "é" * 30_000 + sentence(rnd)]
     rows += [(n + i, "hot", t, "z", "2026-01-20 00:00:00", None, None, None, None) for i, t in enumerate(odd * 2)]
     rows += [(n + 50, None, texts[0], "x", "2026-01-20 00:00:00", *[None] * 4), (n + 51, "hot", texts[0], "x", None, *[None] * 4), (n + 52, "hot", texts[0], "x", "no time", *[None] * 4)]
+    rows += [(None, "hot", texts[0], "x", "2026-01-20 00:00:00", *[None] * 4)] * 2
     return rows + rows[:3]
 
 
 def cores(rows: list[tuple]) -> dict[int, tuple[str, str]]:
     """Owner and core of each row that counts."""
     core = transducer().core
-    return {r[0]: (r[1], k) for r in rows if r[1] is not None and r[2] is not None and len(k := core(r[2])) >= MIN_CORE}
+    return {r[0]: (r[1], k) for r in rows if r[0] is not None and r[1] is not None and r[2] is not None and len(k := core(r[2])) >= MIN_CORE}
 
 
 def linked(rows: list[tuple], least: float = 0.6) -> set[tuple[int, int]]:

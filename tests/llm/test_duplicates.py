@@ -95,6 +95,8 @@ def sequential(rows):
         links[a].add(b)
         links[b].add(a)
     for r in rows:
+        if r[0] is None:
+            continue
         t = (r[4] or "").replace("/", "-").replace("T", " ")
         for no, a, b in BATCHES:
             if a <= t[:10] < b:
@@ -142,6 +144,19 @@ def test_entries_with_more_candidates_than_first_are_searched_whole(spark, tmp_p
     assert usual == {tuple(r) for r in forest.repeated_memories(df, batches(spark), f"file://{tmp_path}/b").collect()}
 
 
+def test_times_in_any_form_and_session_zone(spark):
+    forms = {"2026-03-29 02:30:00": 0, "2026/03/29 02:30:00": 0, "2026-03-29T02:30:00.250": 250_000, " 2026-03-29 02:30:00 ": 0, "yesterday": None, "": None, None: None, "2026-13-01 00:00:00": None}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # where that hour is skipped
+        df = spark.createDataFrame([(x,) for x in forms], "t string")
+        got = {r.t: r.m for r in df.select("t", forest.parsed_time(df.t).alias("m")).collect()}
+        start = 1_774_751_400_000_000
+        assert got == {k: None if v is None else start + v for k, v in forms.items()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_no_history_and_no_batches(spark, tmp_path):
     df = spark.createDataFrame(memories(2)[:40], SCHEMA)
     assert forest.repeated_memories(df.limit(0), batches(spark), f"file://{tmp_path}/a").collect() == []

@@ -42,7 +42,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     # written once: texts are rewritten and digested in one pass, however often the digests are read
     rows, _ = cut(rows.mapInArrow(_digested, "id bigint, f1 bigint, f2 bigint, t1 bigint, t2 bigint"), "digests")
     texts = rows.groupBy("f1", "f2", "t1", "t2").agg(F.count("*").alias("n"))
@@ -66,7 +66,7 @@ def alike_pairs(*sources: tuple[str, DataFrame, str, str]) -> DataFrame:
     meet each other and the output is exactly the pairs asked for. Hot classes are split by the
     adaptive skew join, the class pairs being small.
 
-    Null texts are in no pair; empty texts have the empty form; repeated ids pair with other ids
+    Null ids and null texts are in no pair; empty texts have the empty form; repeated ids pair with other ids
     only; an empty table gives no rows.
     """
     parts = [_pairs(df, key, text).select(F.lit(name).alias("src"), "id_a", "id_b") for name, df, key, text in sources]

@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import sketch
@@ -60,7 +60,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketched(records: DataFrame) -> DataFrame:
     """Sketch rows of records (text, id, at, owner); at orders the records, ties by id."""
-    return records.select("text", "id", "at", "owner").where("owner IS NOT NULL AND text IS NOT NULL AND at IS NOT NULL").mapInArrow(_sketched, _ROW)
+    return records.select("text", "id", "at", "owner").where("id IS NOT NULL AND owner IS NOT NULL AND text IS NOT NULL AND at IS NOT NULL").mapInArrow(_sketched, _ROW)
 
 
 def first_of_class(rows: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ class HashForest:
         compared with them. texts has (id, text) of history and records. With ``keep`` the accepted
         are appended to the state.
 
-        Null owners, null times, null or empty texts and cores under 12 characters are no
+        Null ids, null owners, null times, null or empty texts and cores under 12 characters are no
         duplicates and are not compared; of equal cores all but the first are duplicates.
         """
         rows, rows_path = cut(sketched(records), "batch")
@@ -292,15 +292,20 @@ def _search(runs: list[list[np.ndarray]], columns: list[np.ndarray], shift: int,
                 yield pa.RecordBatch.from_arrays([pa.array(ids[entry]), pa.array(r_id[place]), pa.array(np.full(len(entry), old)), pa.array(more)], names=["a", "b", "old", "more"])
 
 
-def parsed_time(text) -> F.Column:
+def _micros(text: Column) -> Column:
+    """Microseconds of a written time, whatever the session's zone: times without a zone are compared as they stand."""
+    return F.unix_micros(F.coalesce(F.try_to_timestamp(F.concat(text, F.lit("+00:00"))), F.try_to_timestamp(text)))
+
+
+def parsed_time(text: Column) -> Column:
     """Microseconds of a time written as date, blank or T, and time, with - or / and maybe a fraction; else null."""
-    plain = F.replace(F.replace(F.trim(text), F.lit("/"), F.lit("-")), F.lit("T"), F.lit(" "))
-    return F.unix_micros(F.try_to_timestamp(plain))
+    return _micros(F.replace(F.replace(F.trim(text), F.lit("/"), F.lit("-")), F.lit("T"), F.lit(" ")))
 
 
 def batched(memories: DataFrame, batches: DataFrame) -> DataFrame:
     """(text, id, at, owner, batch_no) of the memories whose created_at lies in a batch."""
-    bounds = batches.select("batch_no", F.unix_micros(F.col("opened_at").cast("timestamp")).alias("opened"), F.unix_micros(F.col("closed_at").cast("timestamp")).alias("closed"))
+    bound = lambda c: _micros(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    bounds = batches.select("batch_no", bound("opened_at").alias("opened"), bound("closed_at").alias("closed"))
     rows = memories.select(F.col("content").alias("text"), F.col("id").cast("bigint").alias("id"), parsed_time(F.col("created_at")).alias("at"), "owner")
     return rows.join(bounds, (F.col("at") >= F.col("opened")) & (F.col("at") < F.col("closed"))).select("text", "id", "at", "owner", "batch_no")
 

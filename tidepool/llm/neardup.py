@@ -90,12 +90,12 @@ def near_duplicates(df: DataFrame, key: str = "id", owner: str = "owner", text:
     the groups. Banding of 12 x 3 finds a link of likeness 0.65 in 98 of 100 cases, of 0.75 in 998
     of 1000; members of groups are mostly joined by several links.
 
-    Null owners, null or empty texts and cores under 12 characters are in no group; rows that
+    Null ids, null owners, null or empty texts and cores under 12 characters are in no group; rows that
     repeat an id are one record; columns besides the three are not read; an empty table gives an
     empty result.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(text).alias("text"), F.col(key).cast("bigint").alias("id"), F.col(owner).alias("owner")).where("owner IS NOT NULL AND text IS NOT NULL")
+    docs = df.select(F.col(text).alias("text"), F.col(key).cast("bigint").alias("id"), F.col(owner).alias("owner")).where("id IS NOT NULL AND owner IS NOT NULL AND text IS NOT NULL")
     rows, rows_path = cut(docs.mapInArrow(_sketch_rows, _SCHEMA), "sketches")
     rest = [x for x in _NAMES if x not in ("id", "g1", "g2")]
     classes = rows.groupBy("g1", "g2").agg(F.min("id").alias("id"), F.max("id").alias("last"), *(F.first(x).alias(x) for x in rest))
