@@ -53,6 +53,16 @@ def test_bucket_output_is_linear():
     assert pairs == {(i - d, i) for i in range(n) for d in range(1, w + 1) if i >= d} | {(0, i) for i in range(1, n)}
 
 
+def test_bucket_reaches_past_members_that_are_not_alike():
+    rnd = np.random.default_rng(1)
+    n = 900
+    s1, s2 = rnd.integers(-(2**63), 2**63, n), rnd.integers(-(2**63), 2**63, n)
+    s1[-1], s2[-1] = s1[5], s2[5]
+    parts = [pa.RecordBatch.from_arrays([pa.array(np.ones(b - a, np.int32)), pa.array(np.arange(a, b)), pa.array(s1[a:b]), pa.array(s2[a:b])], names=["key", "id", "s1", "s2"]) for a, b in ((0, 400), (400, 401), (401, n))]
+    pairs = {(a, b) for out in neardup.bucket_neighbours(20)(iter(parts)) for a, b in zip(out[0].to_pylist(), out[1].to_pylist(), strict=True)}
+    assert pairs == {(5, n - 1)}
+
+
 def test_signatures_estimate_likeness():
     rnd = random.Random(4)
     texts = [sentence(rnd, 14).replace(" ", "").replace("，", "") for _ in range(30)]

@@ -14,8 +14,9 @@ from tidepool.llm.components import components
 from tidepool.sources.shared import cut, drop
 
 BANDS, ROWS = 12, 3
-#: Successive members of a bucket, in the order of their sketches, that are compared with each.
-WINDOW = 64
+#: Members of a bucket before each, in the order of their sketches, whose sketches are compared with its own, and
+#: how many of those alike go on to be verified: the nearest, and the bucket's first member.
+REACH, PARTNERS = 4096, 64
 
 
 def _words(values: np.ndarray) -> list[np.ndarray]:
@@ -38,42 +39,44 @@ _NAMES = ["id", "g1", "g2", *(f"k{i}" for i in range(BANDS // 2)), "s1", "s2"]
 _SCHEMA = ", ".join(f"{x} bigint" for x in _NAMES)
 
 
-def bucket_neighbours(most: int, window: int = WINDOW):
+def bucket_neighbours(most: int, partners: int = PARTNERS, reach: int = REACH):
     """mapInArrow function over (key, id, s1, s2), sorted by key and sketch within each partition.
 
-    A bucket streams by: each member is compared with the ``window`` members before it and with the
-    bucket's first member, by sketch alone, and what may be alike comes out as (a, b). Memory is a
-    batch and the window, however hot the bucket; its output is linear in its members.
+    A bucket streams by: each member is compared by sketch with up to ``reach`` members before it, the
+    nearest first, until ``partners`` of them may be alike, and with the bucket's first member. What
+    may be alike comes out as (a, b). Memory is a batch and ``reach`` rows, however hot the bucket,
+    and its output is linear in its members.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))]
-        lead = None  # the first member of the bucket that the held rows end with
+        lead = None  # the first member of the bucket that the held rows are of
         for batch in batches:
             fresh = [c.to_numpy() for c in batch.columns]
             if not len(fresh[0]):
                 continue
             key, ids, s1, s2 = (np.concatenate(x) for x in zip(held, fresh, strict=True))
             n, old = len(key), len(held[0])
-            found = []
-            for d in range(1, min(window, n - 1) + 1):
-                low = max(old, d)
-                at = low + np.flatnonzero(key[low:] == key[low - d : n - d])
-                if not len(at) and low == d:
-                    break
-                at = at[sketch.near(s1[at], s2[at], s1[at - d], s2[at - d], most)]
-                found.append((ids[at], ids[at - d]))
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             first = np.repeat(starts, np.diff(np.append(starts, n)))
+            rank = np.arange(n) - first
             l_id, l1, l2 = ids[first], s1[first], s2[first]
             if lead is not None and lead[0] == key[0]:
                 run_end = starts[1] if len(starts) > 1 else n
                 l_id[:run_end], l1[:run_end], l2[:run_end] = lead[1:]
+            met, found = np.zeros(n, np.int32), []
+            open_, d = np.arange(old, n), 1
+            while d <= reach and len(open_ := open_[(rank[open_] >= d) & (met[open_] < partners)]):
+                at = open_[sketch.near(s1[open_], s2[open_], s1[open_ - d], s2[open_ - d], most)]
+                met[at] += 1
+                found.append((ids[at], ids[at - d]))
+                d += 1
             far = np.arange(old, n)
-            far = far[sketch.near(s1[far], s2[far], l1[far], l2[far], most) & (ids[far] != l_id[far])]
+            far = far[sketch.near(s1[far], s2[far], l1[far], l2[far], most)]
             found.append((ids[far], l_id[far]))
             lead = (key[-1], l_id[-1], l1[-1], l2[-1])
-            held = [x[-window:] for x in (key, ids, s1, s2)]
+            kept = max(int(starts[-1]), n - reach)
+            held = [x[kept:] for x in (key, ids, s1, s2)]
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
