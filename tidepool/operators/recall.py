@@ -11,6 +11,7 @@ from tidepool.config import Walk
 from tidepool.functions.text import clock, seconds_between
 from tidepool.operators.graph import sense, walk
 from tidepool.operators.search import search
+from tidepool.sources.shared import cut, drop
 
 #: Channels of a recall, in the order they are shown.
 CHANNELS = ("identity", "lit", "associated", "premonition", "weak")
@@ -36,19 +37,23 @@ def prefetch(texts: DataFrame, memories: DataFrame, nodes: DataFrame, adjacent:
     are taken keyword by keyword until there are enough, each once. A text that touches nothing is
     searched itself.
     """
-    hits = sense(texts, nodes, p)
+    hits, hits_path = cut(sense(texts, nodes, p), "hits")
     near = walk(hits.select("qid", "rank", "node"), adjacent, p)
     titles = nodes.select(F.col("id").alias("node"), F.coalesce(F.nullif("title", F.lit("")), F.col("id")).alias("title"))
     own = hits.select("qid", F.col("rank").alias("place"), "title")
     more = near.join(titles, "node", "left").select("qid", (F.col("place") + 1_000_000).alias("place"), F.coalesce("title", "node").alias("title"))
-    keywords = own.union(more).groupBy("qid", "title").agg(F.min("place").alias("place"))
-    found = search(memories, keywords.select(F.col("title").alias("keyword")).distinct(), owner, p.per_keyword)
-    direct = texts.join(hits.select("qid").distinct(), "qid", "left_anti").select("qid", F.col("text").alias("keyword")).where("keyword <> ''")
-    plain = direct.join(search(memories, direct.select("keyword").distinct(), owner, p.results), "keyword").select("qid", F.lit(0).cast("bigint").alias("place"), "rank", "id")
-    rows = keywords.join(found, keywords.title == found.keyword).select("qid", "place", "rank", "id").union(plain)
+    direct = texts.join(hits.select("qid").distinct(), "qid", "left_anti").where("text <> ''")
+    # titles give a few rows each; the text itself, where it touches nothing, as many as there are results
+    asked = own.union(more).groupBy("qid", "title").agg(F.min("place").alias("place")).select("qid", "title", "place", F.lit(p.per_keyword).alias("most"))
+    asked = asked.union(direct.select("qid", F.col("text").alias("title"), F.lit(0).cast("bigint").alias("place"), F.lit(p.results).alias("most")))
+    asked, path = cut(asked, "asked")
+    found = search(memories, asked.select(F.col("title").alias("keyword")).distinct(), owner, max(p.per_keyword, p.results))
+    rows = asked.join(found, asked.title == found.keyword).where("rank <= most").select("qid", "place", "rank", "id")
     each = rows.groupBy("qid", "id").agg(F.min(F.struct("place", "rank")).alias("first"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("first", "id"))
-    return each.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= p.results).select("qid", "rank", "id")
+    out, _ = cut(each.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= p.results).select("qid", "rank", "id"), "prefetch")
+    drop(texts.sparkSession, path, hits_path)
+    return out
 
 
 def first_channel(*parts: DataFrame) -> DataFrame:

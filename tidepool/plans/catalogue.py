@@ -7,23 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.functions import text as T
 from tidepool.config import STOP_WORDS
+from tidepool.functions import text as T
 from tidepool.operators import evaluate, gates, graph, heat, journal, learn, recall, records, search, selector
 from tidepool.operators.unpack import unpack_values
 from tidepool.plans import oracle
+from tidepool.plans.inputs import AS_OF, KEYWORDS, OWNER, PROMPTS, SEEDS
 from tidepool.streaming import turns as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The owner asked for where an operator reads one owner's memories, and the time "now".
-OWNER, AS_OF = "qiaoyun", "2026-09-01 00:00:00"
-#: Phrases searched for.
-KEYWORDS = ("notes_", "采购清单", "LOGBOOK", "re", "see memo", "教训", "nothing holds this")
-#: Texts that nodes are sensed from and memories called to mind by, and nodes a walk starts from.
-PROMPTS = ((0, "the trial battery and the 报销凭证"), (1, "anonymous sketch"), (2, "采购清单 was here"))
-SEEDS = ((0, 1, "n5"), (0, 2, "n0"), (1, 1, "n7"), (1, 2, "n9"), (2, 1, "n11"), (2, 2, "n11"), (3, 1, "absent"))
-
 _registered: dict[str, Query] = {}
 
 

@@ -5,10 +5,7 @@ from __future__ import annotations
 from tidepool.config import DEFAULT_TURN_TAG, EXEMPT_MARKER, FIRST_TURN_TAG, NOISE_MARKERS, PROTECTED_MARKERS, STOP_WORDS, TURN_TAGS
 from tidepool.functions.text import PUNCTUATION, SPACE
 from tidepool.operators.journal import CONFIRMED, CORRECTED
-
-OWNER, AS_OF = "qiaoyun", "2026-09-01 00:00:00"
-KEYWORDS = ("notes_", "采购清单", "LOGBOOK", "re", "see memo", "教训", "nothing holds this")
-SEEDS = ((0, 1, "n5"), (0, 2, "n0"), (1, 1, "n7"), (1, 2, "n9"), (2, 1, "n11"), (2, 2, "n11"), (3, 1, "absent"))
+from tidepool.plans.inputs import AS_OF, KEYWORDS, OWNER, SEEDS
 
 
 def _any(column: str, words: tuple[str, ...]) -> str:
