@@ -17,6 +17,10 @@ from tidepool.sources.shared import cut, drop
 CHANNELS = ("identity", "lit", "associated", "premonition", "weak")
 
 
+#: Keywords of a text that are searched first; of those without enough results then eight times as many, and so on.
+FIRST_KEYWORDS = 16
+
+
 def channels(per: int = 3, **parts: DataFrame) -> DataFrame:
     """(channel, channel_rank, rank, id, line): the first rows of each channel, in the channels' fixed order.
 
@@ -46,13 +50,28 @@ def prefetch(texts: DataFrame, memories: DataFrame, nodes: DataFrame, adjacent:
     # titles give a few rows each; the text itself, where it touches nothing, as many as there are results
     asked = own.union(more).groupBy("qid", "title").agg(F.min("place").alias("place")).select("qid", "title", "place", F.lit(p.per_keyword).alias("most"))
     asked = asked.union(direct.select("qid", F.col("text").alias("title"), F.lit(0).cast("bigint").alias("place"), F.lit(p.results).alias("most")))
-    asked, path = cut(asked, "asked")
-    found = search(memories, asked.select(F.col("title").alias("keyword")).distinct(), owner, max(p.per_keyword, p.results))
-    rows = asked.join(found, asked.title == found.keyword).where("rank <= most").select("qid", "place", "rank", "id")
-    each = rows.groupBy("qid", "id").agg(F.min(F.struct("place", "rank")).alias("first"))
+    turn = F.row_number().over(Window.partitionBy("qid").orderBy("place", "title"))
+    asked, path = cut(asked.withColumn("turn", turn), "asked")
+    longest = asked.agg(F.max("turn").alias("n")).first().n or 0
+    done, paths, low, high = None, [path, hits_path], 0, FIRST_KEYWORDS
+    while low < longest or done is None:
+        # the next keywords of the texts that have not enough results so far
+        now = asked.where((F.col("turn") > low) & (F.col("turn") <= high))
+        if done is not None:
+            full = done.groupBy("qid").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= p.results)
+            now = now.join(full, "qid", "left_anti")
+        found = search(memories, now.select(F.col("title").alias("keyword")).distinct(), owner, max(p.per_keyword, p.results))
+        rows = now.join(found, now.title == found.keyword).where("rank <= most").select("qid", "place", "rank", "id")
+        rows, rows_path = cut(rows if done is None else done.union(rows), "found")
+        paths.append(rows_path)
+        enough = rows.groupBy("qid").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= p.results)
+        done, low, high = rows, high, high * 8
+        if low < longest and asked.where(F.col("turn") > low).join(enough, "qid", "left_anti").isEmpty():
+            break
+    each = done.groupBy("qid", "id").agg(F.min(F.struct("place", "rank")).alias("first"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("first", "id"))
     out, _ = cut(each.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= p.results).select("qid", "rank", "id"), "prefetch")
-    drop(texts.sparkSession, path, hits_path)
+    drop(texts.sparkSession, *paths)
     return out
 
 
