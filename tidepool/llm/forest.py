@@ -223,7 +223,9 @@ class _Shard:
 
             self.shard, self.parts = shard, []
             for run in self.runs:
-                system, path = fs.FileSystem.from_uri(run if "://" in run or run.startswith("file:") else f"file://{run}")
+                # object stores go by other names in Spark than in Arrow
+                uri = run.replace("s3a://", "s3://", 1) if run.startswith("s3a://") else run
+                system, path = fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
                 where = f"{path}/shard={shard}"
                 if system.get_file_info(where).type != fs.FileType.NotFound:
                     for info in system.get_file_info(fs.FileSelector(where)):
