@@ -50,7 +50,8 @@ def test_bucket_output_is_linear():
     run = neardup.bucket_neighbours(128, w)
     batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), pa.array(np.arange(a, b)), *[pa.array(np.zeros(b - a, np.int64))] * 2], names=["key", "id", "s1", "s2"])
     pairs = {(a, b) for out in run(iter([batch(0, 1700), batch(1700, 1701), batch(1701, n)])) for a, b in zip(out[0].to_pylist(), out[1].to_pylist(), strict=True)}
-    assert pairs == {(i - d, i) for i in range(n) for d in range(1, w + 1) if i >= d} | {(0, i) for i in range(1, n)}
+    assert {p for p in pairs if p[0] != p[1]} == {(i - d, i) for i in range(n) for d in range(1, w + 1) if i >= d} | {(0, i) for i in range(1, n)}
+    assert {a for a, b in pairs if a == b} == set(range(w, n))
 
 
 def test_bucket_reaches_past_members_that_are_not_alike():
@@ -63,6 +64,21 @@ def test_bucket_reaches_past_members_that_are_not_alike():
     assert pairs == {(5, n - 1)}
 
 
+def test_the_rest_of_large_buckets_is_compared(spark, monkeypatch):
+    rows = memories(5)
+    expected = groups(linked(rows))
+    monkeypatch.setattr(neardup.bucket_neighbours, "__defaults__", (1, 1))
+    got = {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got & expected) >= 0.99 * len(expected) and len(got - expected) <= 0.01 * len(expected)
+
+
+def test_rest_skips_the_largest_group():
+    ids, group = np.arange(6), np.array([7, 7, 7, 3, 4, 4])
+    batch = lambda a, b, key: pa.RecordBatch.from_arrays([pa.array(np.full(b - a, key, np.int32)), pa.array(ids[a:b]), pa.array(group[a:b]), *[pa.array(np.zeros(b - a, np.int64))] * 2], names=["key", "id", "group", "s1", "s2"])
+    pairs = sorted((a, b) for out in neardup.rest_of_buckets(0)(iter([batch(0, 2, 1), batch(2, 5, 1), batch(5, 6, 2)])) for a, b in zip(out[0].to_pylist(), out[1].to_pylist(), strict=True))
+    assert pairs == [(0, 3), (0, 4), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
 def test_signatures_estimate_likeness():
     rnd = random.Random(4)
     texts = [sentence(rnd, 14).replace(" ", "").replace("，", "") for _ in range(30)]
