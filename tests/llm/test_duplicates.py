@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from data import SCHEMA, cores, linked, memories, sentence
+from data import SCHEMA, WORDS, cores, linked, memories, sentence
 
 from tidepool.functions.packed import split_labels
 from tidepool.llm import copies, forest, neardup, sketch
@@ -170,6 +170,21 @@ def test_entries_with_more_candidates_than_first_are_searched_whole(spark, tmp_p
     assert usual == {tuple(r) for r in forest.repeated_memories(df, batches(spark), f"file://{tmp_path}/b").collect()}
 
 
+def test_entries_whose_links_fall_away_are_searched_whole(spark, tmp_path, monkeypatch):
+    rnd = random.Random(5)
+    base, rows = sentence(rnd, 8).split("，"), []
+    for i in range(200):
+        clauses = list(base)
+        for _ in range(rnd.randrange(4)):
+            clauses[rnd.randrange(8)] = f"{rnd.choice(WORDS)} {rnd.choice(WORDS)}{rnd.randrange(1000)}"
+        rows.append(("，".join(clauses), i, i, "hot"))
+    df = spark.createDataFrame(rows, "text string, id bigint, at bigint, owner string")
+    found = lambda name: {r.id for r in forest.HashForest(spark, f"file://{tmp_path}/{name}", shards=4).ingest(df, df.select("id", "text"), keep=False).collect()}
+    usual = found("a")
+    monkeypatch.setattr(forest, "FIRST", 10**6)
+    assert usual == found("b")
+
+
 def test_times_in_any_form_and_session_zone(spark):
     forms = {"2026-03-29 02:30:00": 0, "2026/03/29 02:30:00": 0, "2026-03-29T02:30:00.250": 250_000, " 2026-03-29 02:30:00 ": 0, "yesterday": None, "": None, None: None, "2026-13-01 00:00:00": None}
     zone = spark.conf.get("spark.sql.session.timeZone")

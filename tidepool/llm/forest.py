@@ -22,7 +22,7 @@ from tidepool.llm import sketch
 from tidepool.sources.shared import cut, drop
 
 TREES, DEPTH = 8, 3
-#: Candidates of one entry in one tree that are verified first; all others only if none of these is a duplicate.
+#: Candidates of one entry in one tree that are verified first; all others only if none of these makes it a duplicate.
 FIRST = 16
 #: Runs after which they are merged into one.
 MOST_RUNS = 8
@@ -80,12 +80,12 @@ class HashForest:
 
     # -- runs ---------------------------------------------------------------------------------
 
-    def _spread(self, rows: DataFrame) -> DataFrame:
+    def _spread(self, rows: DataFrame, *more: str) -> DataFrame:
         """A row for each record and tree, together with its shard: of the shortest prefix searched."""
         trees = F.array(*(F.struct(F.lit(i).cast("int").alias("tree"), F.col(k).alias("key")) for i, k in enumerate(_KEYS)))
-        rows = rows.select("id", "at", "s1", "s2", F.inline(trees))
+        rows = rows.select("id", "at", "s1", "s2", *more, F.inline(trees))
         shard = F.pmod(F.xxhash64(F.shiftrightunsigned("key", self.shift), "tree"), F.lit(self.shards)).cast("int")
-        return rows.select(shard.alias("shard"), "tree", "key", "id", "at", "s1", "s2").repartition("shard").sortWithinPartitions("shard", "tree", "key")
+        return rows.select(shard.alias("shard"), "tree", "key", "id", "at", "s1", "s2", *more).repartition("shard").sortWithinPartitions("shard", "tree", "key")
 
     def append(self, rows: DataFrame) -> None:
         """Persist the sketch rows of accepted records as a new sorted run."""
@@ -106,8 +106,8 @@ class HashForest:
 
     # -- search -------------------------------------------------------------------------------
 
-    def _candidates(self, entries: DataFrame, first: int | None) -> DataFrame:
-        """(a, b, old, more): entry a may be a duplicate of the accepted (old) or earlier entry b.
+    def _candidates(self, entries: DataFrame, first: int | None, wanted: DataFrame | None = None) -> DataFrame:
+        """(a, b, old, more): entry a, of the wanted (a) or of all, may be a duplicate of the accepted (old) or earlier entry b.
 
         In each tree an entry's range under the whole key is searched, then the prefix is widened to
         the depth that meets the recall target. ``more`` says that an entry had further candidates.
@@ -119,7 +119,10 @@ class HashForest:
             for shard, tree, columns in _groups(batches):
                 yield from _search(index.tree(shard, tree), columns, shift, most, first)
 
-        return self._spread(entries).mapInArrow(run, "a bigint, b bigint, old boolean, more boolean")
+        asked = entries.withColumn("asked", F.lit(1))
+        if wanted is not None:
+            asked = entries.join(wanted.select(F.col("a").alias("id"), F.lit(1).alias("found")), "id", "left").withColumn("asked", F.coalesce("found", F.lit(0)))
+        return self._spread(asked, "asked").mapInArrow(run, "a bigint, b bigint, old boolean, more boolean")
 
     def _links(self, entries: DataFrame, texts: DataFrame, first: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
         found, path = cut(self._candidates(entries, first).groupBy("a", "b").agg(F.max("old").alias("old"), F.max("more").alias("more")), "forest-candidates")
@@ -144,12 +147,19 @@ class HashForest:
         entries, entries_path = cut(first_of_class(rows), "entries")
         links, capped, paths = self._links(entries, texts, FIRST)
         cases, case_path = self._resolve(links)
-        # entries with candidates that were not verified, and no duplicate so far: search them whole
-        rest = capped.join(cases, capped.a == cases.id, "left_anti")
-        if not rest.isEmpty():
-            again, _, more_paths = self._links_of(entries, rest, texts)
+        # entries that are no duplicate so far and have candidates that were not verified are searched whole; as
+        # that makes others no duplicates, whose links were to these, until none is left
+        whole = None
+        while True:
+            rest = capped.join(cases, capped.a == cases.id, "left_anti")
+            rest, rest_path = cut(rest if whole is None else rest.join(whole, "a", "left_anti"), "rest")
+            paths.append(rest_path)
+            if rest.isEmpty():
+                break
+            again, more_paths = self._links_of(entries, rest, texts)
             links, all_path = cut(links.union(again).distinct(), "forest-all")
             paths += [*more_paths, all_path, case_path]
+            whole = rest if whole is None else whole.union(rest)
             cases, case_path = self._resolve(links)
         if keep:
             self.append(entries.join(cases, "id", "left_anti"))
@@ -159,12 +169,12 @@ class HashForest:
         drop(self.spark, rows_path, entries_path, case_path, *paths)
         return done
 
-    def _links_of(self, entries: DataFrame, wanted: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-        found = self._candidates(entries, None).join(wanted, "a").where("b IS NOT NULL")
+    def _links_of(self, entries: DataFrame, wanted: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[str]]:
+        found = self._candidates(entries, None, wanted)
         found, path = cut(found.groupBy("a", "b").agg(F.max("old").alias("old")), "forest-candidates")
         good = sketch.verified(found.select("a", "b"), texts, self.least)
         links, links_path = cut(good.join(found, ["a", "b"]).select("a", "b", "old"), "forest-links")
-        return links, wanted, [path, links_path]
+        return links, [path, links_path]
 
     def _resolve(self, links: DataFrame) -> tuple[DataFrame, str]:
         """(id) of the duplicates: each link's a is later than its b; old b are accepted.
@@ -192,7 +202,7 @@ def _without(links: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """(shard, tree, [key, id, at, s1, s2]) of sorted rows."""
+    """(shard, tree, [key, id, at, s1, s2, asked]) of sorted rows."""
     held: list[list[np.ndarray]] = []
     now = None
     for batch in batches:
@@ -263,14 +273,15 @@ def _expand(low: np.ndarray, high: np.ndarray, most: int = 2_000_000) -> Iterato
 
 
 def _search(runs: list[list[np.ndarray]], columns: list[np.ndarray], shift: int, most: int, first: int | None) -> Iterator[pa.RecordBatch]:
-    key, ids, at, s1, s2 = columns
-    order = np.argsort(key, kind="stable")
-    key, ids, at, s1, s2 = (x[order] for x in (key, ids, at, s1, s2))
+    order = np.argsort(columns[0], kind="stable")
+    key, ids, at, s1, s2, asked = (x[order] for x in columns)
     sources = [(True, *r) for r in runs] + [(False, key, ids, s1, s2)]
     for old, r_key, r_id, r1, r2 in sources:
         # the whole key first; what is found there again under the wider prefix is not searched twice
         inner_low, inner_high = _ranges(r_key, key, 0)
         low, high = _ranges(r_key, key, shift)
+        for bound in (inner_low, inner_high, low, high):
+            bound[asked == 0] = 0
         wide = [(inner_low, inner_high)] + ([(low, inner_low), (inner_high, high)] if shift else [])
         taken = np.zeros(len(key), np.int64)
         for a_low, a_high in wide:
