@@ -52,6 +52,24 @@ def test_predictions_against_formula(spark):
     assert m.n == 4 and m.logloss == pytest.approx(logloss)
 
 
+def test_options_without_a_common_token_are_listed(spark):
+    contexts = [(1, "open the page", None), (2, "nothing", None), (3, None, None)]
+    options, rows, scores, predicted = setting(spark, TOOLS, contexts)
+    probs = {(r.qid, r.oid): r.p for r in selector.probabilities(predicted, options).collect()}
+    assert len(probs) == 9
+    top = sorted((r.qid, r["rank"], r.name) for r in selector.suggestions(predicted, options, 2).collect())
+    for qid, context, _ in contexts:
+        names, p = brute(TOOLS, context)
+        assert [probs[qid, i] for i in range(3)] == pytest.approx(p)
+        order = sorted(range(3), key=lambda i: (-round(p[i], 12), i))
+        assert [x for x in top if x[0] == qid] == [(qid, k + 1, names[order[k]]) for k in (0, 1)]
+    for listed in (scores, selector.features(rows, options, scores)):
+        known, whole = {(r.qid, r.oid): r for r in listed.collect()}, selector.of_all_options(rows, options, listed).select(listed.columns)
+        assert 0 < len(known) < 9 and whole.dtypes == listed.dtypes
+        got = {(r.qid, r.oid): r for r in whole.collect()}
+        assert len(got) == 9 and all(r == known[k] if k in known else set(r[2:]) == {0} for k, r in got.items())
+
+
 def test_report(spark):
     options, rows, _, predicted = setting(spark, TOOLS, [(1, "open the page", "read_page"), (2, "x", "zip")])
     r = evaluate.report(rows, predicted, options, selector.rule_picks(rows, options))

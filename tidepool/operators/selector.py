@@ -1,8 +1,8 @@
 """Lexical option selector: which option a context is about, with a probability and a gate.
 
 Options are few (a catalogue); contexts are many. Contexts and options meet by an equality join on
-tokens, so a pair without a common token, whose score is 0, is never made: such options enter the
-softmax by their number.
+tokens, so a pair without a common token, whose score is 0, is not made there: such options enter the
+softmax by their number, and are filled in from the catalogue where all options are asked for.
 """
 
 from __future__ import annotations
@@ -87,17 +87,41 @@ def predictions(contexts: DataFrame, options: DataFrame, scores: DataFrame, p: S
     return rows.select("qid", choice.alias("choice"), confidence.alias("confidence"), (confidence - second).alias("margin"), ranking.alias("ranking"), "z", "top")
 
 
-def probabilities(predicted: DataFrame) -> DataFrame:
-    """(qid, oid, p) of the options with a common token; all others of a context share exp(-top)/z."""
-    return predicted.select("qid", F.inline("ranking")).select("qid", "oid", "p")
+def _oids(options: DataFrame) -> DataFrame:
+    return F.broadcast(options.agg(F.array_sort(F.collect_list("oid")).alias("oids")))
+
+
+def _whole(predicted: DataFrame, options: DataFrame) -> DataFrame:
+    """(qid, ranking): every option of each context, best first, as (neg, oid, p); ties go to the lowest option.
+
+    Options without a common token have score 0 and share exp(-top)/z each.
+    """
+    met = F.transform("ranking", lambda x: F.struct((-x["score"]).alias("neg"), x["oid"].alias("oid"), x["p"].alias("p")))
+    others = F.array_except("oids", F.transform("ranking", lambda x: x["oid"]))
+    rest = F.transform(others, lambda o: F.struct(F.lit(0.0).alias("neg"), o.alias("oid"), (F.exp(-F.col("top")) / F.col("z")).alias("p")))
+    return predicted.crossJoin(_oids(options)).select("qid", F.array_sort(F.concat(met, rest)).alias("ranking"))
+
+
+def probabilities(predicted: DataFrame, options: DataFrame) -> DataFrame:
+    """(qid, oid, p) of every option of each context."""
+    return _whole(predicted, options).select("qid", F.inline("ranking")).select("qid", "oid", "p")
 
 
 def suggestions(predicted: DataFrame, options: DataFrame, most: int = 5) -> DataFrame:
-    """(qid, rank, name, p): the best options of each context with a common token, p rounded to 4 digits."""
-    top = predicted.select("qid", F.posexplode(F.slice("ranking", 1, most)).alias("rank", "r"))
+    """(qid, rank, name, p): the best of all options of each context, p rounded to 4 digits."""
+    top = _whole(predicted, options).select("qid", F.posexplode(F.slice("ranking", 1, most)).alias("rank", "r"))
     return top.select("qid", (F.col("rank") + 1).cast("bigint").alias("rank"), "r.oid", F.round("r.p", 4).alias("p")).join(F.broadcast(options.select("oid", "name")), "oid").select("qid", "rank", "name", "p")
 
 
+def of_all_options(contexts: DataFrame, options: DataFrame, listed: DataFrame) -> DataFrame:
+    """bm25_scores() or features() with a row for every context and option: 0 throughout without a common token."""
+    kinds = {c: kind for c, kind in listed.dtypes if c not in ("qid", "oid")}
+    found = listed.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("oid", F.struct(*kinds)))).alias("found"))
+    pairs = contexts.select("qid").join(found, "qid", "left").crossJoin(_oids(options)).select("qid", "found", F.explode("oids").alias("oid"))
+    pairs = pairs.select("qid", "oid", F.element_at("found", F.col("oid")).alias("x"))
+    return pairs.select("qid", "oid", *(F.coalesce(F.col("x")[c], F.lit(0).cast(kind)).alias(c) for c, kind in kinds.items()))
+
+
 def gated(predicted: DataFrame, p: Selector = Selector()) -> DataFrame:
     """predictions() with ``passed``: whether confidence and margin, rounded to 4 digits, are enough."""
     ok = (F.round("confidence", 4) >= p.least_confidence) & (F.round("margin", 4) >= p.least_margin)

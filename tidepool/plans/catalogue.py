@@ -276,18 +276,20 @@ def idf_fit(spark, folder):
 
 @query
 def bm25_scores(spark, folder):
-    return _selector(spark, folder)[2].withColumn("bm25", F.round("bm25", 6))
+    options, contexts, scores, _ = _selector(spark, folder)
+    return selector.of_all_options(contexts, options, scores).withColumn("bm25", F.round("bm25", 6))
 
 
 @query
 def selector_features(spark, folder):
     options, contexts, scores, _ = _selector(spark, folder)
-    return selector.features(contexts, options, scores).withColumn("bm25", F.round("bm25", 6))
+    return selector.of_all_options(contexts, options, selector.features(contexts, options, scores)).withColumn("bm25", F.round("bm25", 6))
 
 
 @query
 def selector_probs(spark, folder):
-    return selector.probabilities(_selector(spark, folder)[3]).withColumn("p", F.round("p", 6))
+    options, _, _, predicted = _selector(spark, folder)
+    return selector.probabilities(predicted, options).withColumn("p", F.round("p", 6))
 
 
 @query
