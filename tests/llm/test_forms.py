@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from tidepool.llm import alike
 from tidepool.llm.canonical import compile_table, transducer
+from tidepool.llm.queries import p5_found
 
 SAME = [
     ("hello 1", "ｈｅｌｌｏ　１"), ("é", "é"), ("ü", "ü"), ("ガ", "ｶﾞ"), ("パ", "パ"), ("abc", "a​b﻿c­"), ("a b", "a b"), ("a b", "a b"), ("paypal", "раураl"),
@@ -50,6 +51,15 @@ def test_pairs_against_all_pairs(spark):
     assert alike.alike_pairs(("m", df.limit(0), "id", "content"), ("g", df.limit(0), "id", "content")).collect() == []
 
 
+def test_short_memories_are_in_no_pair_but_short_contexts_are(spark, tmp_path):
+    texts = ["ok, noted", "ｏk, noted", "eleven char", "ｅleven char", "twelve chars x", "ｔwelve chars x", None, ""]
+    assert [len(transducer().core(x)) for x in texts[2:6:2]] == [10, 12]
+    spark.createDataFrame(list(enumerate(texts)), "id bigint, content string").write.parquet(f"{tmp_path}/memories.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "gold_id bigint, context string").write.parquet(f"{tmp_path}/gold.parquet")
+    got = sorted(tuple(r) for r in p5_found(spark, str(tmp_path)).collect())
+    assert got == [("gold", 0, 1), ("gold", 2, 3), ("gold", 4, 5), ("memories", 4, 5)]
+
+
 def test_consistent_column(spark):
     df = spark.createDataFrame([("ａ",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(alike.consistent("t")).collect()] == ["a", None, ""]

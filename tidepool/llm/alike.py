@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -31,20 +31,25 @@ def consistent(text: Column | str) -> Column:
     return forms(text)
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    form = transducer().form
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        raw = [x.encode("utf-8", "surrogatepass") for x in texts]
-        forms = digests([form(x).encode("utf-8", "surrogatepass") for x in texts])
-        stored = digests(raw)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (forms[:, 0], forms[:, 1], stored[:, 0], stored[:, 1]))], names=["id", "f1", "f2", "t1", "t2"])
+def _digested(least_core: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form, core = transducer().form, transducer().core
+        for batch in batches:
+            if least_core:
+                batch = batch.filter(pa.array([len(core(x)) >= least_core for x in batch.column(1).to_pylist()], pa.bool_()))
+            texts = batch.column(1).to_pylist()
+            raw = [x.encode("utf-8", "surrogatepass") for x in texts]
+            forms = digests([form(x).encode("utf-8", "surrogatepass") for x in texts])
+            stored = digests(raw)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (forms[:, 0], forms[:, 1], stored[:, 0], stored[:, 1]))], names=["id", "f1", "f2", "t1", "t2"])
 
+    return run
 
-def _pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+
+def _pairs(df: DataFrame, key: str, text: str, least_core: int = 0) -> DataFrame:
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     # written once: texts are rewritten and digested in one pass, however often the digests are read
-    rows, _ = cut(rows.mapInArrow(_digested, "id bigint, f1 bigint, f2 bigint, t1 bigint, t2 bigint"), "digests")
+    rows, _ = cut(rows.mapInArrow(_digested(least_core), "id bigint, f1 bigint, f2 bigint, t1 bigint, t2 bigint"), "digests")
     texts = rows.groupBy("f1", "f2", "t1", "t2").agg(F.count("*").alias("n"))
     mixed = texts.groupBy("f1", "f2").agg(F.count("*").alias("variants")).where("variants > 1")
     variants = texts.join(mixed.select("f1", "f2"), ["f1", "f2"]).select("f1", "f2", "t1", "t2")
@@ -57,10 +62,10 @@ def _pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def alike_pairs(*sources: tuple[str, DataFrame, str, str]) -> DataFrame:
+def alike_pairs(*sources: tuple[str, DataFrame, str, str] | tuple[str, DataFrame, str, str, int]) -> DataFrame:
     """(src, id_a, id_b): every pair of rows of a source with equal forms and different stored texts.
 
-    A source is (name, table, key, text). Forms and stored texts are compared by 128-bit digests, so
+    A source is (name, table, key, text), and maybe the least length of the core of a text that counts. Forms and stored texts are compared by 128-bit digests, so
     no text is shuffled. Equal stored texts are one class; only pairs of different classes of one
     form are made and then joined with their members, so the many rows that share a short text never
     meet each other and the output is exactly the pairs asked for. Hot classes are split by the
@@ -69,5 +74,5 @@ def alike_pairs(*sources: tuple[str, DataFrame, str, str]) -> DataFrame:
     Null ids and null texts are in no pair; empty texts have the empty form; repeated ids pair with other ids
     only; an empty table gives no rows.
     """
-    parts = [_pairs(df, key, text).select(F.lit(name).alias("src"), "id_a", "id_b") for name, df, key, text in sources]
+    parts = [_pairs(df, *how).select(F.lit(name).alias("src"), "id_a", "id_b") for name, df, *how in sources]
     return reduce(DataFrame.union, parts)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import alike, copies, distinctive, encode, forest, mixing, neardup, subjects
+from tidepool.llm.sketch import MIN_CORE
 from tidepool.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +45,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return alike.alike_pairs(("memories", _read(spark, folder, "memories"), "id", "content"), ("gold", _read(spark, folder, "gold"), "gold_id", "context"))
+    return alike.alike_pairs(("memories", _read(spark, folder, "memories"), "id", "content", MIN_CORE), ("gold", _read(spark, folder, "gold"), "gold_id", "context"))
 
 
 def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
