@@ -116,3 +116,10 @@ def test_prefetch(spark, memories):
     for r in recall.prefetch(texts, rows, nodes, graph.adjacency(edges), "me", Walk()).orderBy("qid", "rank").collect():
         got.setdefault(r.qid, []).append(r.id)
     assert set(got) == {0, 1} and set(got[0]) == {1, 2, 3} and got[0][-1] == 1 and got[1] == [5]
+
+
+def test_partition_does_not_end_before_its_parts_are_whole(spark):
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", None, i) for i in range(30)], "src string, dst string, relation string, ord bigint")
+    assert {r.part for r in graph.partition(edges).collect()} == {"n00"}
+    with pytest.raises(RuntimeError):
+        graph.partition(edges, 1)

@@ -122,16 +122,17 @@ def cooccurrence(items: DataFrame, group: str, item: str, least: int = 2, most_g
     return pairs.groupBy("a", "b").agg(F.sum("times").alias("n")).where(F.col("n") >= least)
 
 
-def partition(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def partition(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, part, is_centre): parts of the graph by connection, and the best connected node of each (own design).
 
     Every node takes the smallest name among its own and its neighbours' parts, and then that part's
-    own part, until nothing changes. Of a part the node with the most edges is its centre, ties by name.
+    own part, until nothing changes; where that takes more than ``most_rounds``, if given, it is an error. Of a part the node with the most edges is its centre, ties by name.
     """
     links = adjacency(edges).select("node", "neighbour").distinct()
     links, links_path = cut(links, "links")
     parts, path = cut(links.groupBy("node").agg(F.least(F.min("neighbour"), F.col("node")).alias("part")), "parts")
-    for _ in range(most_rounds):
+    rounds = 0
+    while True:
         near = links.join(parts.select(F.col("node").alias("neighbour"), "part"), "neighbour").groupBy("node").agg(F.min("part").alias("near"))
         moved = parts.join(near, "node").select("node", F.col("part").alias("old"), F.least("part", "near").alias("part"))
         up = moved.select(F.col("node").alias("part"), F.col("part").alias("above"))
@@ -142,6 +143,9 @@ def partition(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         parts, path = new.select("node", "part"), next_path
         if still:
             break
+        rounds += 1
+        if rounds == most_rounds:
+            raise RuntimeError(f"parts still change after {most_rounds} rounds")
     degree = links.groupBy("node").agg(F.count("*").alias("degree"))
     centre = parts.join(degree, "node").groupBy("part").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node")).alias("c")).select("part", F.col("c.node").alias("centre"))
     out, _ = cut(parts.join(centre, "part").select("node", "part", (F.col("node") == F.col("centre")).alias("is_centre")), "partition")
