@@ -10,9 +10,9 @@ from tidepool.llm.queries import p5_found
 
 SAME = [
     ("hello 1", "ｈｅｌｌｏ　１"), ("é", "é"), ("ü", "ü"), ("ガ", "ｶﾞ"), ("パ", "パ"), ("abc", "a​b﻿c­"), ("a b", "a b"), ("a b", "a b"), ("paypal", "раураl"),
-    ("é", "е́"), ("é", "e‍́"), ("ἄ", "ἄ"), ("Å", "Å"), ("각", "각"), ("ABEKMHOPCTX", "АВЕКМНОРСТХ"), ("!", "！"),
+    ("é", "е́"), ("é", "e‍́"), ("ἄ", "ἄ"), ("Å", "Å"), ("각", "각"), ("ABEKMHOPCTX", "АВЕКМНОРСТХ"), ("!", "！"), ("a\tb", "a b"), ("é\tb", "é b"),
 ]
-APART = [("a", "A"), ("e", "é"), ("a b", "a  b"), ("a\nb", "a b"), ("x2", "x²"), ("1", "①"), ("，", "、"), ("ß", "ss"), ("a\tb", "a b")]
+APART = [("a", "A"), ("e", "é"), ("a b", "a  b"), ("a\nb", "a b"), ("x2", "x²"), ("1", "①"), ("，", "、"), ("ß", "ss"), ("a\t\tb", "a b")]
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)

@@ -19,7 +19,9 @@ GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳ", "ABEZHIKMNOPTYXoj", strict=
 ARMENIAN = dict(zip("ՕՍօսցհոզ", "OUoughnq", strict=True))
 LOOK_ALIKES = CYRILLIC | GREEK | ARMENIAN
 
-_CODES = [*range(0x80, 0x30000), *range(0xE0000, 0xE0200)]
+#: A tab is a blank like any other; other characters below 0x80 stay.
+_TAB = 0x09
+_CODES = [_TAB, *range(0x80, 0x30000), *range(0xE0000, 0xE0200)]
 #: Marks without width that are not of category Cf.
 _NO_WIDTH = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 
@@ -47,7 +49,7 @@ def compile_table() -> tuple[dict[str, str], str, str]:
         if cat == "Cf" or code in _NO_WIDTH:
             table[ch] = ""
             empty.append(code)
-        elif cat == "Zs":
+        elif cat == "Zs" or code == _TAB:
             table[ch] = " "
         elif (form := _compose(ch)) != ch:
             table[ch] = " " if form == "　" else form
@@ -97,7 +99,7 @@ class Transducer:
     def form(self, text: str) -> str:
         """The consistent form: visible differences stay."""
         if text.isascii():
-            return text
+            return text.replace("\t", " ")
         if self.marked.search(text):
             return self.cluster.sub(self._read, text)
         return self.changed.sub(self._shift, text)
