@@ -56,7 +56,7 @@ idf AS (SELECT w, count(*) AS df, ln(1 + (max(n) - count(*) + 0.5::DOUBLE) / (co
 wt AS (SELECT w, oid, idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS part FROM ot JOIN os USING (oid) JOIN idf USING (w), st),
 ctx AS (SELECT gold_id AS qid, context, label FROM gold),
 sc AS (SELECT qid, oid, count(*) AS shared, sum(part) AS bm25 FROM (SELECT DISTINCT qid, w FROM (SELECT qid, unnest({_tokens('context')}) AS w FROM ctx)) JOIN wt USING (w) GROUP BY qid, oid),
-fl AS (SELECT c.qid, o.oid, o.name, sc.shared IS NOT NULL AS met, round(least(coalesce(bm25, 0), 40) / 20.0::DOUBLE, 12) AS s FROM ctx c CROSS JOIN opt o LEFT JOIN sc ON sc.qid = c.qid AND sc.oid = o.oid),
+fl AS (SELECT c.qid, o.oid, o.name, round(least(coalesce(bm25, 0), 40) / 20.0::DOUBLE, 12) AS s FROM ctx c CROSS JOIN opt o LEFT JOIN sc ON sc.qid = c.qid AND sc.oid = o.oid),
 mx AS (SELECT *, max(s) OVER (PARTITION BY qid) AS top FROM fl),
 pr AS (SELECT *, exp(s - top) / sum(exp(s - top)) OVER (PARTITION BY qid) AS p, row_number() OVER (PARTITION BY qid ORDER BY s DESC, oid) AS k FROM mx),
 pred AS (SELECT qid, max(CASE WHEN k = 1 THEN oid END) AS choice, max(CASE WHEN k = 1 THEN p END) AS confidence, max(CASE WHEN k = 1 THEN p END) - coalesce(max(CASE WHEN k = 2 THEN p END), 0) AS margin FROM pr GROUP BY qid),
@@ -127,15 +127,15 @@ def statements() -> dict[str, str]:
     q["gold_known"] = "SELECT gold_id AS qid, context, label FROM gold WHERE label IN (SELECT name FROM tools)"
     q["stored_model"] = "SELECT e.key AS w, round(e.value, 9) AS idf, avgdl, n FROM (SELECT unnest(map_entries(lex.idf)) AS e, lex.avgdl AS avgdl, lex.n::BIGINT AS n FROM lex_model)"
     q["idf_fit"] = _SEL + "SELECT w, df, round(idf, 9) AS idf FROM idf"
-    q["bm25_scores"] = _SEL + "SELECT qid, oid, shared, round(bm25, 6) AS bm25 FROM sc"
+    q["bm25_scores"] = _SEL + "SELECT c.qid, o.oid, coalesce(shared, 0) AS shared, round(coalesce(bm25, 0), 6) AS bm25 FROM ctx c CROSS JOIN opt o LEFT JOIN sc ON sc.qid = c.qid AND sc.oid = o.oid"
     grams = "list_distinct(list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || '_' || t[i + 1]))"
     q["selector_features"] = _SEL + f""", cg AS (SELECT qid, unnest({grams}) AS g FROM (SELECT qid, {_tokens('context')} AS t FROM ctx)), og AS (SELECT oid, unnest({grams}) AS g FROM (SELECT oid, {_tokens('text')} AS t FROM opt)),
       xb AS (SELECT qid, oid, count(*) AS shared_bigrams FROM cg JOIN og USING (g) GROUP BY qid, oid)
-      SELECT sc.qid, sc.oid, shared, least(shared, 5)::BIGINT AS ov, least(floor(shared * 10 / greatest(1, size)), 10)::BIGINT AS ratio, coalesce(shared_bigrams, 0)::BIGINT AS shared_bigrams, round(least(bm25, 40) / 20, 6) AS bm25
-      FROM sc JOIN os ON os.oid = sc.oid LEFT JOIN xb ON xb.qid = sc.qid AND xb.oid = sc.oid"""
-    q["selector_probs"] = _SEL + "SELECT qid, oid, round(p, 6) AS p FROM pr WHERE met"
+      SELECT c.qid, os.oid, coalesce(shared, 0) AS shared, least(coalesce(shared, 0), 5)::BIGINT AS ov, least(floor(coalesce(shared, 0) * 10 / greatest(1, size)), 10)::BIGINT AS ratio, coalesce(shared_bigrams, 0)::BIGINT AS shared_bigrams, round(least(coalesce(bm25, 0), 40) / 20, 6) AS bm25
+      FROM ctx c CROSS JOIN os LEFT JOIN sc ON sc.qid = c.qid AND sc.oid = os.oid LEFT JOIN xb ON xb.qid = c.qid AND xb.oid = os.oid"""
+    q["selector_probs"] = _SEL + "SELECT qid, oid, round(p, 6) AS p FROM pr"
     q["selector_predict"] = _SEL + "SELECT qid, choice, round(confidence, 6) AS confidence, round(margin, 6) AS margin FROM pred"
-    q["selector_topk"] = _SEL + "SELECT qid, k AS rank, name, round(p, 4) AS p FROM pr WHERE met AND k <= 5"
+    q["selector_topk"] = _SEL + "SELECT qid, k AS rank, name, round(p, 4) AS p FROM pr WHERE k <= 5"
     q["selector_gate"] = _SEL + "SELECT qid, choice, round(confidence, 4) >= 0.05 AND round(margin, 4) >= 0.03 AS passed FROM pred"
     q["rule_pick"] = _SEL + "SELECT qid, name, opinion FROM rp"
     q["eval_metrics"] = _SEL + "SELECT count(*) AS n, count(*) FILTER (ok) AS hits, round(avg(ok::INT), 6) AS top1, round(avg(-ln(greatest(p_gold, 1e-12))), 6) AS logloss, round(max(ece), 6) AS ece FROM dec, ecet"
