@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.sources.shared import cut, drop
+
 _RUN = re.compile("[a-z0-9_]+")
 _LETTER = re.compile("[a-z]")
 
@@ -43,22 +45,25 @@ def term_scores(df: DataFrame, key: str, text: str, mu: float = 50.0, least_df:
     Terms in fewer than ``least_df`` records get no row; ``least_tf`` and ``most_df`` keep only the
     terms so frequent in the record or so rare in the collection.
 
-    Counting within a record is a narrow pass; the vocabulary is aggregated with a combine before
-    its shuffle, which also spreads hot terms. Every row is a record of its own, even if keys or
+    Counting within a record is a narrow pass over the texts, whose counts are written once; the
+    vocabulary is aggregated from them with a combine before its shuffle, which also spreads hot terms,
+    and the total of the collection is that of the vocabulary before its cutoffs. Every row is a record of its own, even if keys or
     whole rows repeat; a null text or one without terms gives no row; a null key is kept as null; an
     empty table gives an empty result; other columns are not read.
     """
     texts = df.select(F.col(key).cast("string").alias("rec_key"), F.col(text).alias("text")).where("text IS NOT NULL")
-    rows = texts.mapInArrow(_counted, "rec_key string, term string, tf bigint, size bigint")
-    words = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    total = rows.agg(F.sum("tf").alias("total"))
+    rows, rows_path = cut(texts.mapInArrow(_counted, "rec_key string, term string, tf bigint, size bigint"), "terms")
+    words, words_path = cut(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "vocabulary")
+    total = words.agg(F.sum("cf").alias("total"))
     words = words.where(F.col("df") >= least_df)
     if most_df is not None:
         words = words.where(F.col("df") <= most_df)
     joined = rows.where(F.col("tf") >= least_tf).join(words, "term").crossJoin(F.broadcast(total))
     c = F.col("cf") / F.col("total")
     p = (F.col("tf") + F.lit(mu) * c) / (F.col("size") + F.lit(mu))
-    return joined.select("rec_key", "term", "tf", "df", (p * F.log(p / c)).alias("score"))
+    done, _ = cut(joined.select("rec_key", "term", "tf", "df", (p * F.log(p / c)).alias("score")), "scores")
+    drop(df.sparkSession, rows_path, words_path)
+    return done
 
 
 def memories_and_tools(memories: DataFrame, tools: DataFrame, **options) -> DataFrame:
