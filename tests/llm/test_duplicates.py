@@ -140,34 +140,52 @@ def batches(spark):
     return spark.createDataFrame([(n, f"{a} 00:00:00", f"{b} 00:00:00") for n, a, b in BATCHES], "batch_no int, opened_at string, closed_at string").selectExpr("batch_no", "cast(opened_at as timestamp_ntz) opened_at", "cast(closed_at as timestamp_ntz) closed_at")
 
 
-@pytest.mark.parametrize("seed", [1, 9])
-def test_batches_against_one_after_the_other(spark, tmp_path, seed):
+SMALL = {"FAN": 2, "PART_ROWS": 40, "PART_CORES": 30, "GROUP_BYTES": 2000, "FIRST": 1, "ONE_TASK": 0}
+
+
+@pytest.mark.parametrize(("seed", "small"), [(1, {}), (9, SMALL)])
+def test_batches_against_one_after_the_other(spark, tmp_path, monkeypatch, seed, small):
+    for name, value in small.items():
+        monkeypatch.setattr(forest, name, value)
     rows = memories(seed)
-    expected = sequential(rows)
-    got = [tuple(r) for r in forest.repeated_memories(spark.createDataFrame(rows, SCHEMA), batches(spark), f"file://{tmp_path}/forest").collect()]
+    expected, folder = sequential(rows), f"file://{tmp_path}/forest"
+    got = [tuple(r) for r in forest.repeated_memories(spark.createDataFrame(rows, SCHEMA), batches(spark), folder).collect()]
     assert len(got) == len(set(got)) and len(expected) > 20
     assert len(set(got) ^ expected) <= 0.02 * len(expected)
-
-
-def test_batch_by_batch_equals_all_at_once_and_runs_merge(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(forest, "MOST_RUNS", 2)
-    df = spark.createDataFrame(memories(11), SCHEMA)
-    texts = df.selectExpr("id", "content as text")
-    rows = forest.batched(df, batches(spark))
-    tree = forest.HashForest(spark, f"file://{tmp_path}/one", shards=4)
-    tree.append(forest.first_of_class(forest.sketched(rows.where("batch_no = 0"))))
-    one = set()
-    for no in (1, 2, 3):
-        one |= {(no, r.id) for r in tree.ingest(rows.where(f"batch_no = {no}"), texts).collect()}
-    assert len(tree.runs) <= 2
-    assert one == {tuple(r) for r in forest.repeated_memories(df, batches(spark), f"file://{tmp_path}/all").collect()}
-
-
-def test_entries_with_more_candidates_than_first_are_searched_whole(spark, tmp_path, monkeypatch):
-    df = spark.createDataFrame(memories(12), SCHEMA)
-    usual = {tuple(r) for r in forest.repeated_memories(df, batches(spark), f"file://{tmp_path}/a").collect()}
-    monkeypatch.setattr(forest, "FIRST", 1)
-    assert usual == {tuple(r) for r in forest.repeated_memories(df, batches(spark), f"file://{tmp_path}/b").collect()}
+    # the folder is the state: opened again, it knows what was accepted, and nothing of that is new
+    again = forest.HashForest(spark, folder)
+    assert len(again.runs) == (len({r.level for r in again.runs}) if small else 4)
+    texts = [(r[2], 10_000 + i, 1, r[1]) for i, r in enumerate(rows) if r[0] is not None and r[4] is not None and r[4][:10].replace("/", "-") < "2026-01-13"][:50]
+    counted = {t[1] for t in texts if t[0] is not None and t[3] is not None and len(forest.sketch.transducer().core(t[0])) >= forest.sketch.MIN_CORE}
+    assert {r.id for r in again.ingest(spark.createDataFrame(texts, "text string, id bigint, at bigint, owner string"), keep=False).collect()} == counted
+
+
+def test_a_batch_reads_what_its_prefixes_ask_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(forest, "GROUP_BYTES", 4000)
+    rnd = random.Random(8)
+    rows = [(sentence(rnd, 5), i, i, f"o{i % 7}") for i in range(6000)]
+    tree = forest.HashForest(spark, f"file://{tmp_path}/forest")
+    kind = "text string, id bigint, at bigint, owner string"
+    tree.append(forest.first_of_class(forest.sketched(spark.createDataFrame(rows, kind))), 6000)
+    own = [(rows[5][0] + "!", 9000, 9000, "o5"), (rows[5][0] + "?", 9001, 9001, "o6"), (rows[6][0].replace(rows[6][0].split("，")[0], "x"), 9002, 9002, "o6")]
+    assert {r.id for r in tree.ingest(spark.createDataFrame(own, kind), keep=False).collect()} == {9000, 9002}
+    one = tree.bytes_read
+    assert tree.ingest(spark.createDataFrame([(sentence(rnd, 5), 9003, 1, "nobody")], kind), keep=False).collect() == [] and 0 <= tree.bytes_read < one
+    assert one < 6000 * forest.TREES * 32 / 10
+
+
+def test_an_empty_batch_and_an_empty_history(spark, tmp_path):
+    tree = forest.HashForest(spark, f"file://{tmp_path}/forest")
+    kind = "text string, id bigint, at bigint, owner string"
+    assert tree.ingest(spark.createDataFrame([(None, 1, 1, "a"), ("", 2, 1, "a"), ("short", 3, 1, "a")], kind)).collect() == [] and tree.runs == []
+    assert [r.id for r in tree.ingest(spark.createDataFrame([("one long enough text", 5, 2, "a"), ("One long enough text.", 6, 2, "a")], kind)).collect()] == [6]
+    assert [r.rows for r in tree.runs] == [1]
+
+
+def test_resolving_in_one_task():
+    links = pa.RecordBatch.from_arrays([pa.array([2, 3, 3, 4, 9]), pa.array([1, 2, 1, 3, 4])], names=["a", "b"])
+    assert [b[0].to_pylist() for b in forest._resolved(iter([links]))] == [[2, 3, 9]]
+    assert [b[0].to_pylist() for b in forest._resolved(iter([]))] == [[]]
 
 
 def test_entries_whose_links_fall_away_are_searched_whole(spark, tmp_path, monkeypatch):
@@ -179,7 +197,7 @@ def test_entries_whose_links_fall_away_are_searched_whole(spark, tmp_path, monke
             clauses[rnd.randrange(8)] = f"{rnd.choice(WORDS)} {rnd.choice(WORDS)}{rnd.randrange(1000)}"
         rows.append(("，".join(clauses), i, i, "hot"))
     df = spark.createDataFrame(rows, "text string, id bigint, at bigint, owner string")
-    found = lambda name: {r.id for r in forest.HashForest(spark, f"file://{tmp_path}/{name}", shards=4).ingest(df, df.select("id", "text"), keep=False).collect()}
+    found = lambda name: {r.id for r in forest.HashForest(spark, f"file://{tmp_path}/{name}").ingest(df, keep=False).collect()}
     usual = found("a")
     monkeypatch.setattr(forest, "FIRST", 10**6)
     assert usual == found("b")

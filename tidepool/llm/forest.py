@@ -1,33 +1,43 @@
 """Deduplicating new batches against all history: a prefix-tree hash forest in sorted runs.
 
-The state is a folder. Each accepted record has one row in each of TREES trees: its key there is a
-permutation of its signature, read as a string of prefixes, the owner mixed into the first. Rows
-are kept in runs, spread over shards by the shortest prefix that is searched and sorted by tree and
-key, so the records under a prefix are a range. A batch reads of the history only the ranges of its
-own prefixes in these narrow rows, and the texts of the candidates found there.
+The state is a folder of runs. A run has, for each accepted record, one row in each of TREES trees,
+sorted by key: a permutation of the record's signature read as a string of prefixes, the owner mixed
+into the first, so the records under a prefix are a range. Beside these narrow rows it has the cores
+of its records, sorted by id. Both lie in small row groups whose bounds are known: a batch reads those
+row groups of the history into which prefixes of its own entries fall, and of the cores those of the
+candidates found there, whatever the size of the rest.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import sketch
-from tidepool.sources.shared import cut, drop
+from tidepool.sources.shared import cut, drop, new_path
 
 TREES, DEPTH = 8, 3
-#: Candidates of one entry in one tree that are verified first; all others only if none of these makes it a duplicate.
-FIRST = 16
-#: Runs after which they are merged into one.
-MOST_RUNS = 8
+#: Candidates of one entry in one tree that are verified first, by how much that grows for entries that these do not
+#: make a duplicate, and the sketch distance at which a candidate of the history is so surely one that widening waits.
+FIRST, GROWTH, SURE = 16, 16, 14
+#: Runs of about one size (within a factor of FAN) after which they are merged into one.
+FAN = 4
+#: Rows of one tree in a part of a run's index, records in a part of its cores, and bytes of a row group in both.
+PART_ROWS, PART_CORES, GROUP_BYTES = 1_000_000, 200_000, 1 << 18
+#: Links up to which duplicates among a batch's own entries are resolved in one task (24 bytes each).
+ONE_TASK = 2_000_000
 _KEYS = [f"t{i}" for i in range(TREES)]
-_ROW = ", ".join(f"{x} bigint" for x in ["id", "at", "g1", "g2", *_KEYS, "s1", "s2"])
+_INDEX = ["tree", "key", "id", "s1", "s2"]
+_ROW = "id bigint, at bigint, batch int, g1 bigint, g2 bigint, " + ", ".join(f"{x} bigint" for x in [*_KEYS, "s1", "s2"]) + ", core string"
 
 
 def least_depth(likeness: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -54,140 +64,250 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signature = sketch.signatures(cores)
         s1, s2 = sketch.sketches(signature)
         keys = _tree_keys(signature, sketch.owner_hash(owners)).view(np.int64)
-        columns = [same[:, 0], same[:, 1], *keys.T, s1, s2]
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *map(pa.array, columns)], names=["id", "at", "g1", "g2", *_KEYS, "s1", "s2"])
+        columns = [same[:, 0], same[:, 1], *keys.T, s1, s2, pa.array(cores, pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(4), *map(pa.array, columns[:-1]), columns[-1]], names=["id", "at", "batch", "g1", "g2", *_KEYS, "s1", "s2", "core"])
 
 
 def sketched(records: DataFrame) -> DataFrame:
-    """Sketch rows of records (text, id, at, owner); at orders the records, ties by id."""
-    return records.select("text", "id", "at", "owner").where("id IS NOT NULL AND owner IS NOT NULL AND text IS NOT NULL AND at IS NOT NULL").mapInArrow(_sketched, _ROW)
+    """Sketch rows of records (text, id, at, owner, maybe batch_no); at orders the records, ties by id."""
+    batch = F.col("batch_no").cast("int") if "batch_no" in records.columns else F.lit(0)
+    return records.select("text", "id", "at", "owner", batch.alias("batch")).where("id IS NOT NULL AND owner IS NOT NULL AND text IS NOT NULL AND at IS NOT NULL").mapInArrow(_sketched, _ROW)
 
 
 def first_of_class(rows: DataFrame) -> DataFrame:
     """The first record, by at and id, of each class of one owner's equal cores."""
-    rest = [F.first(x).alias(x) for x in (*_KEYS, "s1", "s2")]
-    return rows.groupBy("g1", "g2").agg(F.min(F.struct("at", "id")).alias("f"), *rest).select("f.id", "f.at", "g1", "g2", *_KEYS, "s1", "s2")
+    rest = [F.first(x).alias(x) for x in (*_KEYS, "s1", "s2", "core")]
+    return rows.groupBy("g1", "g2").agg(F.min(F.struct("at", "id")).alias("f"), *rest).select("f.id", "f.at", *_KEYS, "s1", "s2", "core")
+
+
+@dataclass(frozen=True)
+class Run:
+    """A sorted run: where it is, its records, the parts of each tree (a power of two) and the parts of its cores."""
+
+    path: str
+    rows: int
+    splits: int
+    cores: int
+
+    @property
+    def level(self) -> int:
+        return (max(self.rows, 1).bit_length() - 1) // (FAN.bit_length() - 1)
 
 
 class HashForest:
-    """Accepted records of all owners, searched by prefixes and grown batch by batch."""
+    """Accepted records of all owners, searched by prefixes and grown batch by batch; the folder is the state."""
 
-    def __init__(self, spark: SparkSession, folder: str, least: float = 0.6, recall: float = 0.97, shards: int = 32) -> None:
-        self.spark, self.folder, self.least, self.shards = spark, folder.rstrip("/"), least, shards
-        self.depth = least_depth(least, recall)
-        self.shift = 16 * (DEPTH - self.depth)
-        self.runs: list[str] = []
+    def __init__(self, spark: SparkSession, folder: str, least: float = 0.6, recall: float = 0.97) -> None:
+        self.spark, self.folder, self.least = spark, folder.rstrip("/"), least
+        depth = least_depth(least, recall)
+        #: Bits of the key left out at each widening, from the whole key to the prefix that meets the recall target.
+        self.shifts = [16 * (DEPTH - d) for d in range(DEPTH, depth - 1, -1)]
+        self.runs = self._kept()
+        #: Bytes of row groups that the last batch read of the history's index.
+        self.bytes_read = 0
 
     # -- runs ---------------------------------------------------------------------------------
 
-    def _spread(self, rows: DataFrame, *more: str) -> DataFrame:
-        """A row for each record and tree, together with its shard: of the shortest prefix searched."""
+    def _files(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def _kept(self) -> list[Run]:
+        """The runs that an earlier process completed in the folder."""
+        fs, where = self._files(self.folder)
+        found = []
+        for entry in fs.listStatus(where) if fs.exists(where) else []:
+            name = entry.getPath().getName()
+            if name.startswith("run-") and fs.exists(self._files(f"{self.folder}/{name}/_complete")[1]):
+                found.append(Run(f"{self.folder}/{name}", *map(int, name.split("-")[2:5])))
+        return sorted(found, key=lambda r: -r.rows)
+
+    def _indexed(self, rows: DataFrame, splits: int, path: str, *more: str) -> None:
+        """Write a row for each record and tree, sorted by key within its part: tree and leading bits of the key."""
         trees = F.array(*(F.struct(F.lit(i).cast("int").alias("tree"), F.col(k).alias("key")) for i, k in enumerate(_KEYS)))
-        rows = rows.select("id", "at", "s1", "s2", *more, F.inline(trees))
-        shard = F.pmod(F.xxhash64(F.shiftrightunsigned("key", self.shift), "tree"), F.lit(self.shards)).cast("int")
-        return rows.select(shard.alias("shard"), "tree", "key", "id", "at", "s1", "s2", *more).repartition("shard").sortWithinPartitions("shard", "tree", "key")
-
-    def append(self, rows: DataFrame) -> None:
-        """Persist the sketch rows of accepted records as a new sorted run."""
-        path = f"{self.folder}/run-{uuid.uuid4().hex[:12]}"
-        self._spread(rows).drop("at").write.partitionBy("shard").parquet(path)
-        self.runs.append(path)
-        if len(self.runs) > MOST_RUNS:
-            self.merge()
-
-    def merge(self) -> None:
-        """Merge all runs into one sorted run."""
-        kind = "tree int, key bigint, id bigint, s1 bigint, s2 bigint, shard int"
-        rows = reduce(DataFrame.union, [self.spark.read.schema(kind).parquet(run) for run in self.runs])
-        path = f"{self.folder}/merged-{uuid.uuid4().hex[:12]}"
-        rows.repartition("shard").sortWithinPartitions("shard", "tree", "key").write.partitionBy("shard").parquet(path)
-        drop(self.spark, *self.runs)
-        self.runs = [path]
+        spread = rows.select("id", "s1", "s2", *more, F.inline(trees))
+        self._sorted(spread.select(self._part(splits).alias("part"), *_INDEX, *more), splits, path)
+
+    @staticmethod
+    def _part(splits: int) -> Column:
+        """Keys are signed: the leading bit is turned, so that parts follow the order of the keys."""
+        lead = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 65 - splits.bit_length()) if splits > 1 else F.lit(0)
+        return (F.col("tree") * splits + lead).cast("int")
+
+    def _sorted(self, rows: DataFrame, splits: int, path: str) -> None:
+        tasks = min(TREES * splits, 4096) if splits > 1 else TREES
+        rows.repartition(tasks, "part").sortWithinPartitions("part", "key").write.option("parquet.block.size", GROUP_BYTES).option("parquet.enable.dictionary", "false").partitionBy("part").parquet(path)
+
+    def _add(self, n: int, index, cores) -> Run:
+        """A run of about n records; index and cores write what they are given a path and a number of parts for."""
+        splits = 1 << max(0, (n - 1) // PART_ROWS).bit_length()
+        parts = 1 + n // PART_CORES
+        run = Run(f"{self.folder}/run-{uuid.uuid4().hex[:12]}-{n}-{splits}-{parts}", n, splits, parts)
+        texts = cores(parts).repartition(parts, "part").sortWithinPartitions("part", "id").write.option("parquet.block.size", GROUP_BYTES).partitionBy("part")
+        with ThreadPoolExecutor(2) as both:
+            for job in [both.submit(index, splits, f"{run.path}/index"), both.submit(texts.parquet, f"{run.path}/cores")]:
+                job.result()
+        fs, done = self._files(f"{run.path}/_complete")
+        fs.create(done).close()
+        self.runs = sorted([*self.runs, run], key=lambda r: -r.rows)
+        return run
+
+    def append(self, rows: DataFrame, n: int) -> None:
+        """Persist the sketch rows of about n accepted records as a new sorted run; runs of one size are merged."""
+        self._add(n, lambda splits, path: self._indexed(rows, splits, path), lambda parts: rows.select(_core_part(parts).alias("part"), "id", "core"))
+        while alike := next((g for level in {r.level for r in self.runs} if len(g := [r for r in self.runs if r.level == level]) >= FAN), None):
+            self.merge(alike)
+
+    def merge(self, runs: list[Run]) -> None:
+        """Merge runs into one; a record is rewritten as often as the logarithm of the history, not with each batch."""
+        read = lambda kind, name: reduce(DataFrame.union, [self.spark.read.schema(kind).parquet(f"{r.path}/{name}") for r in runs])
+        index, cores = read("tree int, key bigint, id bigint, s1 bigint, s2 bigint", "index"), read("id bigint, core string", "cores")
+        again = lambda splits, path: self._sorted(index.select(self._part(splits).alias("part"), *_INDEX), splits, path)
+        self._add(sum(r.rows for r in runs), again, lambda parts: cores.select(_core_part(parts).alias("part"), "id", "core"))
+        self.runs = [r for r in self.runs if r not in runs]
+        drop(self.spark, *(r.path for r in runs))
 
     # -- search -------------------------------------------------------------------------------
 
-    def _candidates(self, entries: DataFrame, first: int | None, wanted: DataFrame | None = None) -> DataFrame:
-        """(a, b, old, more): entry a, of the wanted (a) or of all, may be a duplicate of the accepted (old) or earlier entry b.
+    def _candidates(self, own: Run, first: int, wanted: DataFrame | None = None) -> tuple[DataFrame, str, dict]:
+        """(a, b, run, more): entry a, of the wanted (a) or of all, may be a duplicate of record b of a run.
 
-        In each tree an entry's range under the whole key is searched, then the prefix is widened to
-        the depth that meets the recall target. ``more`` says that an entry had further candidates.
+        ``own`` is the batch's index and stands last among the runs; of it only entries before a count.
+        In each tree an entry's range under the whole key is searched, then prefixes are widened to the
+        depth that meets the recall target. An entry stops in a tree at ``first`` candidates, or at one
+        of the history whose sketch is nearly its own; ``more`` says so.
         """
-        runs, shift, most = list(self.runs), self.shift, sketch.differing_bits(self.least)
+        runs = [*self.runs, own]
+        shifts, most = self.shifts, sketch.differing_bits(self.least)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _Shard(runs)
-            for shard, tree, columns in _groups(batches):
-                yield from _search(index.tree(shard, tree), columns, shift, most, first)
-
-        asked = entries.withColumn("asked", F.lit(1))
+            index = [_Index(r, own=r is runs[-1]) for r in runs]
+            for batch in batches:
+                tree = batch.column(0).to_numpy()
+                for t in np.unique(tree):
+                    columns = [c.to_numpy() for c in batch.filter(pa.array(tree == t)).columns[1:]]
+                    yield from _search(index, int(t), columns, shifts, most, first)
+            read = sum(x.read for x in index[:-1])
+            yield _found_rows([None], [None], [-1], [False], [read])
+
+        asked = self.spark.read.schema("tree int, key bigint, id bigint, s1 bigint, s2 bigint, at bigint").parquet(f"{own.path}/index")
         if wanted is not None:
-            asked = entries.join(wanted.select(F.col("a").alias("id"), F.lit(1).alias("found")), "id", "left").withColumn("asked", F.coalesce("found", F.lit(0)))
-        return self._spread(asked, "asked").mapInArrow(run, "a bigint, b bigint, old boolean, more boolean")
+            asked = asked.join(wanted.select(F.col("a").alias("id")), "id", "left_semi")
+        rows = asked.select("tree", "key", "id", "at", "s1", "s2").mapInArrow(run, _FOUND)
+        seen = Observation()
+        rows = rows.groupBy("a", "b").agg(F.min("run").alias("run"), F.max("more").alias("more"), F.sum("read").alias("read"))
+        rows = rows.observe(seen, F.count("b").alias("pairs"), F.count_if("more").alias("capped"), F.sum("read").alias("read"))
+        found, path = cut(rows, "forest-candidates")
+        return found.where("b IS NOT NULL"), path, seen.get
+
+    def _verified(self, found: DataFrame, entries: DataFrame, own: int) -> DataFrame:
+        """(a, b, old) of the candidates whose exact likeness is enough; of the history's cores only theirs are read."""
+        runs = list(self.runs)
+        part = F.lit(0)
+        for i, r in enumerate(runs):
+            part = F.when(F.col("run") == i, F.pmod(F.xxhash64("b"), F.lit(r.cores)).cast("int")).otherwise(part)
 
-    def _links(self, entries: DataFrame, texts: DataFrame, first: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
-        found, path = cut(self._candidates(entries, first).groupBy("a", "b").agg(F.max("old").alias("old"), F.max("more").alias("more")), "forest-candidates")
-        good = sketch.verified(found.where("b IS NOT NULL").select("a", "b"), texts, self.least)
-        links, links_path = cut(good.join(found.select("a", "b", "old"), ["a", "b"]).select("a", "b", "old"), "forest-links")
-        capped = found.where("more").select("a").distinct()
-        return links, capped, [path, links_path]
-
-    def ingest(self, records: DataFrame, texts: DataFrame, keep: bool = True) -> DataFrame:
-        """(id) of the records that repeat what was accepted before; the others are accepted.
-
-        records has (text, id, at, owner), of one batch or of several, and is taken by at, then id:
-        a record is a duplicate if its likeness with an accepted one of its owner, of the history or
-        earlier in ``records``, is ``least`` or more; duplicates are not accepted and nothing is
-        compared with them. texts has (id, text) of history and records. With ``keep`` the accepted
-        are appended to the state.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: OrderedDict[tuple[int, int], list[_Groups]] = OrderedDict()
+            for batch in batches:
+                which, place, ids = (c.to_numpy() for c in batch.columns)
+                for i, p in {*zip(which.tolist(), place.tolist(), strict=True)}:
+                    if (i, p) not in held:
+                        held[i, p] = [_Groups(x, "id") for x in _listed(f"{runs[i].path}/cores/part={p}")]
+                    held.move_to_end((i, p))
+                    while len(held) > 16:
+                        held.popitem(last=False)
+                    yield from _cores_of(held[i, p], np.sort(ids[(which == i) & (place == p)]))
+
+        asked = found.where(F.col("run") < own).select("run", part.alias("part"), "b").distinct()
+        old = asked.repartition("run", "part").sortWithinPartitions("run", "part", "b").mapInArrow(run, "b bigint, core string")
+        mine = entries.select("id", "core")
+        pairs = found.select("a", "b", (F.col("run") < own).alias("old"))
+        return sketch.verified(pairs, mine, old.union(mine), self.least).distinct()
+
+    def ingest(self, records: DataFrame, keep: bool = True) -> DataFrame:
+        """(id) of the records of a batch that repeat what was accepted before; the others are accepted.
+
+        records has (text, id, at, owner) and is taken by at, then id: a record is a duplicate if its
+        likeness with an accepted one of its owner, of the history or earlier in ``records``, is
+        ``least`` or more; duplicates are not accepted and nothing is compared with them. With ``keep``
+        the accepted are appended to the state.
 
         Null ids, null owners, null times, null or empty texts and cores under 12 characters are no
         duplicates and are not compared; of equal cores all but the first are duplicates.
         """
-        rows, rows_path = cut(sketched(records), "batch")
-        entries, entries_path = cut(first_of_class(rows), "entries")
-        links, capped, paths = self._links(entries, texts, FIRST)
-        cases, case_path = self._resolve(links)
-        # entries that are no duplicate so far and have candidates that were not verified are searched whole; as
-        # that makes others no duplicates, whose links were to these, until none is left
-        whole = None
+        rows, path = cut(sketched(records), "batch")
+        out, _ = cut(self._ingest(rows, keep), "cases")
+        self._forget()
+        drop(self.spark, path)
+        return out
+
+    def _forget(self) -> None:
+        drop(self.spark, *self._open)
+        self._open: list[str] = []
+
+    def _ingest(self, rows: DataFrame, keep: bool) -> DataFrame:
+        """ingest() of sketch rows; what the answer still reads is removed by _forget() once it is written."""
+        self._open = []
+        seen = Observation()
+        entries, path = cut(first_of_class(rows).observe(seen, F.count("*").alias("n")), "entries")
+        self._open.append(path)
+        n = seen.get["n"]
+        if not n:
+            return rows.select("id").limit(0)
+        splits = 1 << max(0, (n - 1) // PART_ROWS).bit_length()
+        own = Run(new_path(self.spark, "own"), n, splits, 0)
+        self._open.append(own.path)
+        self._indexed(entries, splits, f"{own.path}/index", "at")
+        first, links, cases, wanted, capped, self.bytes_read = FIRST, None, None, None, None, 0
         while True:
-            rest = capped.join(cases, capped.a == cases.id, "left_anti")
-            rest, rest_path = cut(rest if whole is None else rest.join(whole, "a", "left_anti"), "rest")
-            paths.append(rest_path)
-            if rest.isEmpty():
+            found, path, told = self._candidates(own, first, wanted)
+            self._open.append(path)
+            self.bytes_read += told["read"] or 0
+            if told["pairs"]:
+                counted = Observation()
+                good = self._verified(found, entries, len(self.runs))
+                good = (good if links is None else links.union(good).distinct()).observe(counted, F.count_if(~F.col("old")).alias("fresh"))
+                links, path = cut(good, "links")
+                self._open.append(path)
+                cases, path = self._resolve(links, counted.get["fresh"])
+                self._open.append(path)
+            # entries that stopped early and are no duplicate so far are searched further, in rounds: as a round
+            # makes others no duplicates, whose links were to these, entries of any earlier round may be among them
+            if not told["capped"] and capped is None:
                 break
-            again, more_paths = self._links_of(entries, rest, texts)
-            links, all_path = cut(links.union(again).distinct(), "forest-all")
-            paths += [*more_paths, all_path, case_path]
-            whole = rest if whole is None else whole.union(rest)
-            cases, case_path = self._resolve(links)
+            now = found.where("more").select("a").distinct()
+            capped = now if capped is None else capped.join(wanted, "a", "left_anti").union(now)
+            left = Observation()
+            wanted, path = cut(capped.join(cases, capped.a == cases.id, "left_anti").observe(left, F.count("*").alias("n")), "rest")
+            self._open.append(path)
+            if not left.get["n"]:
+                break
+            first *= GROWTH
+        accepted = entries if cases is None else entries.join(cases, "id", "left_anti")
         if keep:
-            self.append(entries.join(cases, "id", "left_anti"))
-        firsts = entries.select("g1", "g2", F.col("id").alias("rep"), F.col("at").alias("rep_at"))
-        copies = rows.select("id", "at", "g1", "g2").join(firsts, ["g1", "g2"]).where("id <> rep").select("id")
-        done, _ = cut(cases.union(copies).distinct(), "cases")
-        drop(self.spark, rows_path, entries_path, case_path, *paths)
-        return done
-
-    def _links_of(self, entries: DataFrame, wanted: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[str]]:
-        found = self._candidates(entries, None, wanted)
-        found, path = cut(found.groupBy("a", "b").agg(F.max("old").alias("old")), "forest-candidates")
-        good = sketch.verified(found.select("a", "b"), texts, self.least)
-        links, links_path = cut(good.join(found, ["a", "b"]).select("a", "b", "old"), "forest-links")
-        return links, [path, links_path]
-
-    def _resolve(self, links: DataFrame) -> tuple[DataFrame, str]:
+            self.append(accepted, n)
+        return rows.select("id").distinct().join(accepted.select("id"), "id", "left_anti")
+
+    def _resolve(self, links: DataFrame, fresh: int) -> tuple[DataFrame, str]:
         """(id) of the duplicates: each link's a is later than its b; old b are accepted.
 
         An entry all of whose links were to duplicates is accepted, which makes those linked to it
-        duplicates; rounds end when no open link is left.
+        duplicates. So many links among the batch's entries as fit in one task are resolved there;
+        more in rounds over tables, until no open link is left.
         """
+        if fresh <= ONE_TASK:
+            old = links.where("old").select(F.col("a").alias("id")).distinct()
+            if not fresh:
+                return cut(old, "cases")
+            # of those that the history makes duplicates the links fall away before
+            open_ = _without(links.where("NOT old").select("a", "b"), old)
+            return cut(old.union(open_.coalesce(1).mapInArrow(_resolved, "id bigint")).distinct(), "cases")
         cases, case_path = cut(links.where("old").select(F.col("a").alias("id")).distinct(), "cases")
         open_, open_path = cut(_without(links.where("NOT old").select("a", "b"), cases), "open")
         while not open_.isEmpty():
             heads = open_.select("b").distinct().join(open_.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
-            fresh = open_.join(heads, "b").select(F.col("a").alias("id")).distinct()
-            more, next_case = cut(cases.union(fresh), "cases")
+            more, next_case = cut(cases.union(open_.join(heads, "b").select(F.col("a").alias("id")).distinct()), "cases")
             left, next_open = cut(_without(open_, more), "open")
             drop(self.spark, case_path, open_path)
             cases, case_path, open_, open_path = more, next_case, left, next_open
@@ -195,114 +315,175 @@ class HashForest:
         return cases, case_path
 
 
+def _core_part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+
+
 def _without(links: DataFrame, cases: DataFrame) -> DataFrame:
     """Links neither of whose ends is a duplicate."""
     left = links.join(cases.select(F.col("id").alias("a")), "a", "left_anti")
     return left.join(cases.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """(shard, tree, [key, id, at, s1, s2, asked]) of sorted rows."""
-    held: list[list[np.ndarray]] = []
-    now = None
-    for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        code = columns[0].astype(np.int64) * TREES + columns[1]
-        bounds = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else []
-        for i, start in enumerate(bounds):
-            end = bounds[i + 1] if i + 1 < len(bounds) else len(code)
-            if now is not None and now != code[start]:
-                yield int(now) // TREES, int(now) % TREES, [np.concatenate(x) for x in zip(*held, strict=True)]
-                held = []
-            now = code[start]
-            held.append([c[start:end] for c in columns[2:]])
-    if held:
-        yield int(now) // TREES, int(now) % TREES, [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-class _Shard:
-    """One shard's rows of all runs, read where they are searched; one shard is held at a time."""
-
-    def __init__(self, runs: list[str]) -> None:
-        self.runs, self.shard, self.parts = runs, -1, []
-
-    def tree(self, shard: int, tree: int) -> list[list[np.ndarray]]:
-        """[key, id, s1, s2] of the tree in each run, sorted by key."""
-        if shard != self.shard:
-            from pyarrow import fs, parquet
-
-            self.shard, self.parts = shard, []
-            for run in self.runs:
-                # object stores go by other names in Spark than in Arrow
-                uri = run.replace("s3a://", "s3://", 1) if run.startswith("s3a://") else run
-                system, path = fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
-                where = f"{path}/shard={shard}"
-                if system.get_file_info(where).type != fs.FileType.NotFound:
-                    for info in system.get_file_info(fs.FileSelector(where)):
-                        if info.path.endswith(".parquet"):
-                            table = parquet.ParquetFile(system.open_input_file(info.path)).read(columns=["tree", "key", "id", "s1", "s2"])
-                            self.parts.append([table.column(x).to_numpy() for x in ("tree", "key", "id", "s1", "s2")])
-        out = []
-        for part in self.parts:
-            a, b = np.searchsorted(part[0], [tree, tree + 1])
-            if b > a:
-                out.append([x[a:b] for x in part[1:]])
-        return out
-
-
-def _ranges(keys: np.ndarray, wanted: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """The range of sorted keys under each wanted key's prefix, without its lowest ``shift`` bits."""
-    prefix, own = keys >> np.int64(shift), wanted >> np.int64(shift)
-    return np.searchsorted(prefix, own, "left"), np.searchsorted(prefix, own, "right")
-
-
-def _expand(low: np.ndarray, high: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(entry, place) for all places of all ranges, in blocks of bounded size."""
-    sizes = high - low
-    ends = np.cumsum(sizes)
-    start = 0
-    while start < len(sizes):
-        base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
-        n = sizes[start:stop]
-        entry = np.repeat(np.arange(start, stop), n)
-        if len(entry):
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The duplicates among the ends of links (later, earlier), in one task."""
+    parts = [[c.to_numpy() for c in batch.columns] for batch in batches]
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+    ids, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = code[: len(a)], code[len(a) :]
+    case = np.zeros(len(ids), bool)
+    while len(a):
+        late = np.zeros(len(ids), bool)
+        late[a] = True
+        case[a[~late[b]]] = True
+        kept = ~case[a] & ~case[b]
+        a, b = a[kept], b[kept]
+    yield pa.RecordBatch.from_arrays([pa.array(ids[case])], names=["id"])
+
+
+# -- reading of runs where they are searched ------------------------------------------------------
+
+
+def _listed(folder: str) -> list:
+    """The parquet files of a folder of any file system, opened; none if it is not there."""
+    from pyarrow import fs, parquet
+
+    # object stores go by other names in Spark than in Arrow
+    uri = folder.replace("s3a://", "s3://", 1) if folder.startswith("s3a://") else folder
+    system, path = fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return []
+    return [parquet.ParquetFile(system.open_input_file(x.path)) for x in system.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet")]
+
+
+class _Groups:
+    """The row groups of a sorted file, with their bounds; the last few that were read are held."""
+
+    def __init__(self, file, by: str) -> None:
+        self.file, meta = file, file.metadata
+        place = file.schema_arrow.names.index(by)
+        bounds = [meta.row_group(i).column(place).statistics for i in range(meta.num_row_groups)]
+        self.low, self.high = (np.array([getattr(x, m) for x in bounds], np.int64) for m in ("min", "max"))
+        self.sizes = [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+        self.held: OrderedDict[int, list] = OrderedDict()
+        self.read = 0
+
+    def rows(self, i: int, columns: list[str], plain: bool = True) -> list:
+        if i not in self.held:
+            table = self.file.read_row_group(i, columns=columns)
+            self.read += self.sizes[i]
+            self.held[i] = [table.column(x).to_numpy() if plain else table.column(x) for x in columns]
+            if len(self.held) > 8:
+                self.held.popitem(last=False)
+        return self.held[i]
+
+
+class _Index:
+    """The index of a run: the row groups of a tree into which ranges of keys fall."""
+
+    def __init__(self, run: Run, own: bool) -> None:
+        self.run, self.own = run, own
+        self.columns = ["key", "id", "s1", "s2"] + (["at"] if own else [])
+        self.parts: OrderedDict[int, list[_Groups]] = OrderedDict()
+        self.past = 0
+
+    @property
+    def read(self) -> int:
+        return self.past + sum(g.read for groups in self.parts.values() for g in groups)
+
+    def groups(self, tree: int, low: int, high: int) -> Iterator[tuple[_Groups, int]]:
+        """(file, row group) of all that overlap keys from low to high."""
+        lead = lambda key: ((key + (1 << 63)) >> (65 - self.run.splits.bit_length())) if self.run.splits > 1 else 0
+        for part in range(tree * self.run.splits + lead(low), tree * self.run.splits + lead(high) + 1):
+            if part not in self.parts:
+                self.parts[part] = [_Groups(x, "key") for x in _listed(f"{self.run.path}/index/part={part}")]
+                if len(self.parts) > TREES:
+                    self.past += sum(g.read for g in self.parts.popitem(last=False)[1])
+            self.parts.move_to_end(part)
+            for groups in list(self.parts[part]):
+                for i in np.flatnonzero((groups.low <= high) & (groups.high >= low)).tolist():
+                    yield groups, i
+
+
+_FOUND = "a bigint, b bigint, run int, more boolean, read bigint"
+
+
+def _found_rows(a, b, run, more, read) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((a, b, run, more, read), kinds, strict=True)], names=["a", "b", "run", "more", "read"])
+
+
+def _steps(low: np.ndarray, high: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(range, place, the ranges asked): places of all ranges, some of each range at a time, ever more; blocks are of
+    bounded size. The receiver may close ranges by setting their high to their low."""
+    low, step = low.copy(), 64
+    while len(open_ := np.flatnonzero(low < high)):
+        for start in range(0, len(open_), max(1, most // step)):
+            some = open_[start : start + max(1, most // step)]
+            n = np.minimum(high[some] - low[some], step)
+            n = np.maximum(n, 0)
+            entry = np.repeat(some, n)
             place = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + low[entry]
-            yield entry, place
-        start = stop
+            yield entry, place, some
+        low[open_] += step
+        step = min(step * 8, most)
 
 
-def _search(runs: list[list[np.ndarray]], columns: list[np.ndarray], shift: int, most: int, first: int | None) -> Iterator[pa.RecordBatch]:
+def _search(index: list[_Index], tree: int, columns: list[np.ndarray], shifts: list[int], most: int, first: int) -> Iterator[pa.RecordBatch]:
     order = np.argsort(columns[0], kind="stable")
-    key, ids, at, s1, s2, asked = (x[order] for x in columns)
-    sources = [(True, *r) for r in runs] + [(False, key, ids, s1, s2)]
-    for old, r_key, r_id, r1, r2 in sources:
-        # the whole key first; what is found there again under the wider prefix is not searched twice
-        inner_low, inner_high = _ranges(r_key, key, 0)
-        low, high = _ranges(r_key, key, shift)
-        for bound in (inner_low, inner_high, low, high):
-            bound[asked == 0] = 0
-        wide = [(inner_low, inner_high)] + ([(low, inner_low), (inner_high, high)] if shift else [])
-        taken = np.zeros(len(key), np.int64)
-        for a_low, a_high in wide:
-            for entry, place in _expand(a_low, a_high):
-                ok = np.bitwise_count((s1[entry] ^ r1[place]).view(np.uint64)) + np.bitwise_count((s2[entry] ^ r2[place]).view(np.uint64)) <= most
-                if not old:
-                    ok &= (at[place] < at[entry]) | (at[place] == at[entry]) & (ids[place] < ids[entry])
-                ok &= r_id[place] != ids[entry]
-                entry, place = entry[ok], place[ok]
-                if not len(entry):
+    key, ids, at, s1, s2 = (x[order] for x in columns)
+    taken, closed = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    inner = None
+    for shift in shifts:
+        low = key >> np.int64(shift) << np.int64(shift)
+        high = low | np.int64((1 << shift) - 1)
+        for number, run in enumerate(index):
+            for groups, i in run.groups(tree, int(low[0]), int(high[-1])):
+                asked = np.arange(np.searchsorted(high, groups.low[i]), np.searchsorted(low, groups.high[i], "right"))
+                asked = asked[~closed[asked]]
+                if not len(asked):
                     continue
-                more = np.zeros(len(entry), bool)
-                if first is not None:
-                    begin = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
-                    rank = np.arange(len(entry)) - np.repeat(begin, np.diff(np.append(begin, len(entry)))) + taken[entry]
-                    more = rank == first
-                    keep = rank <= first
-                    counts = np.bincount(entry, minlength=len(key))
-                    taken += counts
-                    entry, place, more = entry[keep], place[keep], more[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[entry]), pa.array(r_id[place]), pa.array(np.full(len(entry), old)), pa.array(more)], names=["a", "b", "old", "more"])
+                r_key, r_id, r1, r2, *r_at = groups.rows(i, run.columns)
+                begin, end = np.searchsorted(r_key, low[asked], "left"), np.searchsorted(r_key, high[asked], "right")
+                ranges = [(begin, end)]
+                if inner is not None:
+                    # what was found under the longer prefix is not searched again
+                    ranges = [(begin, np.searchsorted(r_key, inner[0][asked], "left")), (np.searchsorted(r_key, inner[1][asked], "right"), end)]
+                for lo, hi in ranges:
+                    for which, place, _ in _steps(lo, hi):
+                        entry = asked[which]
+                        bits = np.bitwise_count((s1[entry] ^ r1[place]).view(np.uint64)) + np.bitwise_count((s2[entry] ^ r2[place]).view(np.uint64))
+                        ok = (bits <= most) & (r_id[place] != ids[entry])
+                        if run.own:
+                            ok &= (r_at[0][place] < at[entry]) | (r_at[0][place] == at[entry]) & (r_id[place] < ids[entry])
+                        which, entry, place, bits = which[ok], entry[ok], place[ok], bits[ok]
+                        if not len(entry):
+                            continue
+                        start = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
+                        rank = np.arange(len(entry)) - np.repeat(start, np.diff(np.append(start, len(entry)))) + taken[entry]
+                        taken += np.bincount(entry, minlength=len(key))
+                        sure = np.zeros(len(key), bool)
+                        if not run.own and first == FIRST:
+                            sure[entry[bits <= SURE]] = True
+                        full = sure | (taken > first)
+                        closed |= full
+                        hi[which[full[entry]]] = 0
+                        kept = rank <= first
+                        entry, place = entry[kept], place[kept]
+                        yield _found_rows(ids[entry], r_id[place], np.full(len(entry), number), full[entry], np.zeros(len(entry), np.int64))
+        inner = (low, high)
+
+
+def _cores_of(files: list[_Groups], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(b, core) of sorted ids, from the row groups that may hold them."""
+    for groups in files:
+        for i in range(len(groups.low)):
+            asked = ids[np.searchsorted(ids, groups.low[i]) : np.searchsorted(ids, groups.high[i], "right")]
+            if len(asked):
+                own, cores = groups.rows(i, ["id", "core"], plain=False)
+                hit = pa.array(np.isin(own.to_numpy(), asked))
+                for batch in pa.table([own, cores], names=["b", "core"]).filter(hit).to_batches():
+                    yield batch
 
 
 def _micros(text: Column) -> Column:
@@ -326,13 +507,24 @@ def batched(memories: DataFrame, batches: DataFrame) -> DataFrame:
 def repeated_memories(memories: DataFrame, batches: DataFrame, folder: str) -> DataFrame:
     """(batch_no, id) of the memories of batches after the first that repeat an accepted one of their owner.
 
-    Batch 0 is the history: all of it is accepted and written to the state in ``folder``. The later
-    batches are ingested together, in their order, so the history is searched once for all of them;
-    ingesting them one after the other gives the same rows.
+    The memories are sketched in one pass and laid down by batch, as batches would arrive. Batch 0 is
+    the history: all of it is accepted and written to the state in ``folder``. Each later batch, in
+    order, is searched against the state as it is by then, and what it adds is appended; of the state
+    a batch reads what its own prefixes and candidates ask for. A batch is a few jobs, so there should
+    be as many batches as arrivals, not as records.
     """
     spark = memories.sparkSession
-    rows = batched(memories, batches)
+    landed, answers = new_path(spark, "landed"), new_path(spark, "answers")
+    sketched(batched(memories, batches)).write.partitionBy("batch").parquet(landed)
+    rows = spark.read.schema(_ROW).parquet(landed)
     forest = HashForest(spark, folder)
-    forest.append(first_of_class(sketched(rows.where("batch_no = 0"))))
-    cases = forest.ingest(rows.where("batch_no > 0"), memories.select(F.col("id").cast("bigint").alias("id"), F.col("content").alias("text")), keep=False)
-    return rows.select("batch_no", "id").join(cases, "id").select("batch_no", "id").distinct()
+    numbers = sorted(r[0] for r in batches.select(F.col("batch_no").cast("int")).where("batch_no IS NOT NULL").distinct().collect())
+    history, path = cut(first_of_class(rows.where("batch = 0")), "history")
+    forest.append(history, history.count())
+    drop(spark, path)
+    spark.createDataFrame([], "id bigint").write.parquet(f"{answers}/batch_no=0")
+    for number in (n for n in numbers if n > 0):
+        forest._ingest(rows.where(F.col("batch") == number), keep=True).write.parquet(f"{answers}/batch_no={number}")
+        forest._forget()
+    drop(spark, landed)
+    return spark.read.schema("batch_no int, id bigint").parquet(answers).select("batch_no", "id")

@@ -149,7 +149,7 @@ def near_duplicates(df: DataFrame, key: str = "id", owner: str = "owner", text:
     most = sketch.differing_bits(least)
     pairs, pairs_path = cut(buckets.mapInArrow(bucket_neighbours(most), "a bigint, b bigint").distinct(), "candidates")
     texts = docs.select("id", "text")
-    links, links_path = cut(sketch.verified(pairs.where("a <> b"), texts, least).select("a", "b"), "links")
+    links, links_path = cut(sketch.verified(pairs.where("a <> b"), texts, texts, least, cores=False), "links")
     label = components(links, "groups")
     short = pairs.where("a = b").select(F.col("a").alias("id"))
     paths = [rows_path, pairs_path, links_path]
@@ -158,7 +158,7 @@ def near_duplicates(df: DataFrame, key: str = "id", owner: str = "owner", text:
         named = banded.join(keys, "key", "left_semi").join(label, banded.id == label.u, "left")
         named = named.select("key", "id", F.coalesce("v", "id").alias("group"), "s1", "s2").repartition("key").sortWithinPartitions("key")
         rest, rest_path = cut(named.mapInArrow(rest_of_buckets(most), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-        label = components(links.union(sketch.verified(rest, texts, least).select("a", "b")), "groups")
+        label = components(links.union(sketch.verified(rest, texts, texts, least, cores=False)), "groups")
         paths.append(rest_path)
     copied = rows.groupBy("g1", "g2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("last > rep").select("g1", "g2", "rep")
     copies = rows.select("id", "g1", "g2").join(copied, ["g1", "g2"]).where("id <> rep").select("id", "rep")

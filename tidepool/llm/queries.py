@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import alike, copies, distinctive, encode, forest, mixing, neardup, subjects
 from tidepool.llm.sketch import MIN_CORE
-from tidepool.sources.shared import new_path
+from tidepool.sources.shared import drop, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +41,10 @@ def p3_collapsed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return forest.repeated_memories(_read(spark, folder, "memories"), _read(spark, folder, "memory_batches"), new_path(spark, "forest"))
+    state = new_path(spark, "forest")
+    found = forest.repeated_memories(_read(spark, folder, "memories"), _read(spark, folder, "memory_batches"), state)
+    drop(spark, state)
+    return found
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -55,13 +55,12 @@ def signatures(cores: list[str]) -> np.ndarray:
     """The signatures, uint16, a row for each core of at least GRAM characters."""
     slots, counts = gram_slots(cores)
     out = np.empty((len(cores), WIDTH), np.uint16)
-    matrix, at = _circulant(), 0
+    matrix, at, low = _circulant(), 0, np.minimum.reduce
     for i, n in enumerate(counts.tolist()):
         # the runs of a very long text are taken in blocks, so its rows never fill the memory
-        low = matrix[slots[at : at + min(n, 4096)]].min(axis=0)
+        low(matrix[slots[at : at + min(n, 4096)]], axis=0, out=out[i])
         for b in range(at + 4096, at + n, 4096):
-            low = np.minimum(low, matrix[slots[b : min(b + 4096, at + n)]].min(axis=0))
-        out[i] = low
+            np.minimum(out[i], low(matrix[slots[b : min(b + 4096, at + n)]], axis=0), out=out[i])
         at += n
     return out
 
@@ -139,19 +138,20 @@ def likeness_of(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both) if x or y else 0.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """(a, b, likeness) of the pairs (a, b) whose exact likeness is at least ``least``.
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float, cores: bool = True) -> DataFrame:
+    """The pairs (a, b, ...) whose exact likeness is at least ``least``.
 
-    docs has (id, text). Both joins read the texts through the same exchange; of a repeated id any
-    row serves, since such rows are one record.
+    left has (a, text) and right (b, text) of both ends, their cores or, without ``cores``, the texts as
+    they are; of a repeated id any row serves, since such rows are one record. Hot ends are split by
+    the adaptive skew join.
     """
-    left = docs.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = docs.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    texts = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    ends = (df.toDF(k, f"text_{k}") for k, df in (("a", left), ("b", right)))
+    texts = pairs.join(next(ends), "a").join(next(ends), "b").select(*pairs.columns, "text_a", "text_b")
+    n = len(pairs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core = transducer().core
         known: dict[str, set[str]] = {}
+        core = str if cores else transducer().core
 
         def grams(text: str) -> set[str]:
             if text not in known:
@@ -163,11 +163,10 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
         for batch in batches:
             score = np.zeros(batch.num_rows)
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (x, y) in enumerate(zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)):
                 p, q = grams(x), grams(y)
                 both = len(p & q)
                 score[i] = both / (len(p) + len(q) - both)
-            keep = pa.array(score >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["a", "b", "likeness"]).filter(keep)
+            yield batch.select(range(n)).filter(pa.array(score >= least))
 
-    return texts.mapInArrow(run, "a bigint, b bigint, likeness double")
+    return texts.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in pairs.dtypes))
