@@ -38,8 +38,8 @@ def _compose(text: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def compile_table() -> tuple[dict[str, str], str, str]:
-    """The mapping of single characters, and the classes of accents and of marks without width."""
+def compile_table() -> tuple[dict[str, str], list[int], list[int]]:
+    """The mapping of single characters, and the codes of accents and of marks without width."""
     table, accents, empty = {}, [], []
     for code in _CODES:
         ch = chr(code)
@@ -58,7 +58,7 @@ def compile_table() -> tuple[dict[str, str], str, str]:
     clash = [ch for ch, form in table.items() if any(table.get(x, x) != x for x in form)]
     if clash:
         raise ValueError(f"entries whose result is rewritten again: {clash[:5]}")
-    return table, _ranges(accents), _ranges(empty)
+    return table, accents, empty
 
 
 def _ranges(codes: list[int]) -> str:
@@ -77,7 +77,9 @@ class Transducer:
 
     def __init__(self) -> None:
         self.table, accents, empty = compile_table()
-        self.marked = re.compile(f"[{accents}{empty}]")
+        # few texts have marks; a set is asked for them much faster than a pattern of their many ranges
+        self.unmarked = frozenset(map(chr, accents + empty)).isdisjoint
+        accents, empty = _ranges(accents), _ranges(empty)
         self.cluster = re.compile(f"[^{accents}{empty}]?[{accents}{empty}]+|[{_ranges([ord(x) for x in self.table])}]")
         self.single = str.maketrans(self.table)
         self.changed = re.compile(f"[{_ranges([ord(x) for x in self.table])}]+")
@@ -100,9 +102,9 @@ class Transducer:
         """The consistent form: visible differences stay."""
         if text.isascii():
             return text.replace("\t", " ")
-        if self.marked.search(text):
-            return self.cluster.sub(self._read, text)
-        return self.changed.sub(self._shift, text)
+        if self.unmarked(text):
+            return self.changed.sub(self._shift, text)
+        return self.cluster.sub(self._read, text)
 
     def core(self, text: str) -> str:
         """The consistent form in lower case, letters and digits only."""
