@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pattern that splits a text into words before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words a worker keeps with their ids, and rows a recursive query may make, both to bound memory.
+#: Words a worker keeps with their ids (beyond these it forgets the rarest), and rows a recursive query may make, both to bound memory.
 KEPT_WORDS, QUERY_ROWS = 200_000, 1_500_000
 
 CONTRACT = """
@@ -45,6 +45,13 @@ SELECT w, list(t ORDER BY p) AS ids FROM step WHERE done GROUP BY w ORDER BY w
 """
 
 
+@lru_cache(maxsize=4)
+def load_ranks(folder: str, name: str = "byte_bpe_50k") -> dict[bytes, int]:
+    """The id of each piece of a vocabulary, read on the driver; executors are sent it."""
+    with open(f"{folder}/{name}.tiktoken", "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 @lru_cache(maxsize=4)
 def load_merges(folder: str, name: str = "byte_bpe_50k") -> dict[str, np.ndarray]:
     """Merge table (left * 65536 + right, rank, merged) and the id of each byte."""
@@ -53,8 +60,7 @@ def load_merges(folder: str, name: str = "byte_bpe_50k") -> dict[str, np.ndarray
     vocab = model["vocab"]
     rows = [(vocab[a] * 65536 + vocab[b], rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])]
     table = np.array(rows, np.int64)
-    with open(f"{folder}/{name}.tiktoken", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = load_ranks(folder, name)
     single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
     return {"pair": table[:, 0], "rank": table[:, 1], "merged": table[:, 2], "byte": single}
 
@@ -77,6 +83,18 @@ class Encoder:
         self.index: dict[str, int] = {}
         self.parts: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
+        self.used = np.zeros(0, np.int64)
+
+    def _keep_common(self, most: int) -> None:
+        """Forget all words but the ones met most often, of late above all."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[:most])
+        ids, sizes = self.parts[0], self.sizes[0]
+        starts, n = (np.cumsum(sizes) - sizes)[kept], sizes[kept]
+        ends = np.cumsum(n)
+        places = np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n) + np.repeat(starts, n)
+        words = list(self.index)
+        self.index = {words[k]: i for i, k in enumerate(kept.tolist())}
+        self.parts, self.sizes, self.used = [ids[places]], [n], self.used[kept] // 2
 
     def _contract(self, words: list[bytes]) -> None:
         raw = np.frombuffer(b"".join(words), np.uint8)
@@ -111,13 +129,15 @@ class Encoder:
         split = [self.split(x) if x else [] for x in texts]
         new = dict.fromkeys(w for words in split for w in words if w not in self.index)
         if self.index and len(self.index) + len(new) > KEPT_WORDS:
-            self._empty()
-            new = dict.fromkeys(w for words in split for w in words)
+            self._keep_common(max(0, KEPT_WORDS // 2 - len(new)))
+            new = dict.fromkeys(w for words in split for w in words if w not in self.index)
         if new:
             self.learn(list(new))
             self.parts, self.sizes = [np.concatenate(self.parts)], [np.concatenate(self.sizes)]
         index = self.index
         flat = np.array([index[w] for words in split for w in words], np.int64)
+        self.used = np.append(self.used, np.zeros(len(index) - len(self.used), np.int64))
+        self.used += np.bincount(flat, minlength=len(index))
         ends = np.zeros(len(texts) + 1, np.int64)
         if not len(flat):
             return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array([], pa.int32()))
@@ -167,9 +187,7 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str
 def decoded(df: DataFrame, key: str = "doc_id", ids: str = "ids", folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """(key, text): the texts that lists of ids stand for; the empty or null list gives the empty text."""
     spark = df.sparkSession
-    with open(f"{folder}/{name}.tiktoken", "rb") as f:
-        pieces = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
-    table = spark.sparkContext.broadcast(pieces)
+    table = spark.sparkContext.broadcast({b: a for a, b in load_ranks(folder, name).items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = table.value.__getitem__
@@ -181,11 +199,9 @@ def decoded(df: DataFrame, key: str = "doc_id", ids: str = "ids", folder: str =
     return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
 
 
-def token_counter(folder: str = TOKENIZERS, name: str = "byte_bpe_50k"):
+def token_counter(ranks: dict[bytes, int]):
     """Function from a list of texts to the numbers of their tokens, for sizes where ids are not asked for."""
     import tiktoken
 
-    with open(f"{folder}/{name}.tiktoken", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    coder = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = tiktoken.Encoding("sizes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return lambda texts: [len(coder.encode_ordinary(x)) if x else 0 for x in texts]

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.encode import TOKENIZERS, token_counter
-from tidepool.sources.shared import cut
+from tidepool.llm.encode import TOKENIZERS, load_ranks, token_counter
+from tidepool.sources.shared import cut, drop
 
 #: Buckets of the sampling key of each source, for prefix sums without sorting a source in one task.
 BUCKETS = 4096
@@ -25,8 +25,10 @@ def sized(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     characters, so that runs of marks or of one character are drawn late.
     """
 
+    ranks = documents.sparkSession.sparkContext.broadcast(load_ranks(folder))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(folder)
+        count = token_counter(ranks.value)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             quality = np.array([_quality(x) for x in texts], np.float64)
@@ -82,11 +84,11 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     proportions; sources without target, null sources and documents without tokens are not
     selected; repeated rows are documents of their own; empty tables give empty results.
     """
-    sizes, _ = cut(sized(documents, folder=folder), "sizes")
+    sizes, sizes_path = cut(sized(documents, folder=folder), "sizes")
     unit = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     keyed = sizes.where("n_tokens > 0").withColumn("rank_key", -F.log(unit) / F.col("quality"))
     keyed = keyed.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("rank_key") / 4)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    plan, _ = cut(budgets(sizes, targets, total), "budgets")
+    plan, plan_path = cut(budgets(sizes, targets, total), "budgets")
     small = targets.limit(SENT_TARGETS + 1).count() <= SENT_TARGETS
     send = F.broadcast if small else (lambda df: df)
 
@@ -101,10 +103,13 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     fits = F.col("below") + F.sum("n_tokens").over(order) - F.col("n_tokens") / 2 <= F.col("rest")
     last = rows.where("bucket = edge").withColumn("extra", F.when((F.col("rest") > 0) & fits, 1).otherwise(0))
     chosen = sure.unionByName(last).select("doc_id", "source", "n_tokens", (F.col("epochs") + F.col("extra")).cast("int").alias("times")).where("times > 0")
+    chosen, _ = cut(chosen, "mixture")
     reached = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("selected_tokens"), F.max("times").alias("most_repeats"))
     report = plan.join(reached, "source", "left").fillna(0, ["selected_tokens", "most_repeats"])
     total_tokens = report.agg(F.sum("selected_tokens").alias("all_tokens"))
     report = report.crossJoin(total_tokens).select(
         "source", "target_share", "share", "documents", "size", "selected_tokens", F.coalesce(F.try_divide(F.col("selected_tokens").cast("double"), F.col("all_tokens")), F.lit(0.0)).alias("reached_share"), "most_repeats"
     )
+    report, _ = cut(report, "shares")
+    drop(documents.sparkSession, sizes_path, plan_path)
     return chosen, report

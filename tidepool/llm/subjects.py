@@ -17,6 +17,8 @@ TERMS = 1 << 16
 FRAMES, BACKGROUND = 4, 12
 #: Most labelled documents the factors are fitted on, and the rounds of alternating updates.
 SAMPLE, ROUNDS = 3000, 15
+#: Areas there may be at most.
+MOST_AREAS = 1000
 #: Entries by which a term's rates in the areas are smoothed.
 PRIOR = 10.0
 #: Longer documents are not fitted on (they are classified like any other).
@@ -198,14 +200,17 @@ def learn_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, sampl
     """Components fitted on at most ``sample`` labelled documents, and the areas in their order.
 
     Labels are compared without regard to case and surrounding blanks; those that are neither an
-    area nor 'none' are no labels. The documents are taken by a hash of their id.
+    area nor 'none' are no labels. The documents are taken by a hash of their id; of a repeated id one
+    text is. More than MOST_AREAS areas are an error: each is a component of the factor matrix.
     """
-    names = [r[0] for r in areas.select("area").where("area IS NOT NULL").distinct().orderBy("area").limit(1000).collect()]
+    names = [r[0] for r in areas.select("area").where("area IS NOT NULL").distinct().orderBy("area").limit(MOST_AREAS + 1).collect()]
+    if len(names) > MOST_AREAS:
+        raise ValueError(f"more than {MOST_AREAS} areas")
     known = {x.strip().lower(): i for i, x in enumerate(names)}
     clean = labels.select("doc_id", F.lower(F.trim("area")).alias("area")).where(F.col("area").isin(*known, "none"))
     chosen = clean.groupBy("doc_id").agg(F.collect_set("area").alias("own")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = documents.where(F.length("text") <= SAMPLE_LENGTH).select("doc_id", "text")
-    rows = sorted(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "own").limit(2 * sample).collect())
+    rows = sorted(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("own").alias("own")).collect())
     if not rows:
         return np.full((TERMS, len(names) + FRAMES + BACKGROUND), 1.0 / TERMS, np.float32), names
     return fit([r[1] for r in rows], [{known[x] for x in r[2] if x in known} for r in rows], len(names)), names
