@@ -16,7 +16,7 @@ COMMANDS = ("write", "recall", "light", "associate", "premonition", "portrait",
 
 def run(engine: Engine, command: str, text: str, tags: str, now: str) -> str:
     spark = engine.spark
-    show = lambda df: "\n".join(json.dumps(r.asDict(), ensure_ascii=False, default=str) for r in df.limit(50).collect())
+    show = lambda df: "\n".join(json.dumps(r.asDict(), ensure_ascii=False, default=str) for r in df.toLocalIterator())
     actions = {
         "write": lambda: engine.call("save", {"content": text, "tags": tags}, now),
         "recall": lambda: json.dumps(engine.recall(text), ensure_ascii=False),

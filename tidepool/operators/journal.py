@@ -33,8 +33,14 @@ def decisions(journal: DataFrame, dropped: tuple[str, ...] = DROPPED_TOOLS) -> D
     return runs.where((F.col("context") != "") & F.array_contains("names", F.col("gold"))).select("run_id", "context", "names", "gold")
 
 
-def shadow_report(journal: DataFrame, suggestion: str = "shadow", outcome: str = "shadow_result") -> DataFrame:
-    """(suggestions, results, matched, rate) by the ends of the rows' kinds; the rate is null without results."""
+def shadow_report(journal: DataFrame, suggestion: str = "shadow", outcome: str = "shadow_result", last: int | None = None) -> DataFrame:
+    """(suggestions, results, matched, rate) by the ends of the rows' kinds; the rate is null without results.
+
+    With ``last`` only the latest so many suggestions and the latest so many results, by ``pos``, count.
+    """
+    if last is not None:
+        latest = lambda end: journal.where(F.col("kind").endswith(end)).orderBy(F.desc("pos")).limit(last)
+        journal = latest(suggestion).union(latest(outcome))
     result = F.coalesce(F.col("kind").endswith(outcome), F.lit(False))
     out = journal.agg(F.count_if(F.col("kind").endswith(suggestion)).alias("suggestions"), F.count_if(result).alias("results"), F.count_if(result & F.coalesce("match", F.lit(False))).alias("matched"))
     return out.withColumn("rate", F.try_divide(F.col("matched").cast("double"), F.col("results")))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tidepool.config import Selector, Training
 
-#: Most labelled rows that a selector is trained on.
-SAMPLE = 1_000
+#: Most labelled rows that a selector is trained on, and options that one may choose from.
+SAMPLE, MOST_OPTIONS = 1_000, 10_000
 
 
 def words(text: str | None) -> list[str]:
@@ -23,11 +23,11 @@ def words(text: str | None) -> list[str]:
     return re.findall("[a-z0-9_]+", low) + re.findall("[一-鿿]", low)
 
 
-def split(rows: list, share: float = 0.3, seed: int = 11) -> tuple[list, list]:
-    """(train, test) after a seeded shuffle; int(share n) rows, at least one, are the test."""
+def split(rows: list, share: float = 0.3, seed: int = 11, rounded: bool = False) -> tuple[list, list]:
+    """(train, test) after a seeded shuffle; share n rows, cut to a whole number or ``rounded``, at least one, are the test."""
     rows = list(rows)
     random.Random(seed).shuffle(rows)
-    n = max(1, int(len(rows) * share))
+    n = max(1, round(len(rows) * share) if rounded else int(len(rows) * share))
     return rows[n:], rows[:n]
 
 
@@ -117,13 +117,21 @@ def train(rows: list[tuple[str, int]], options: list[str], held_out: list[tuple[
     return {"w": {names[i]: float(x) for i, x in enumerate(weights) if x}, "b": 0.0, "best_epoch": best_epoch, "top1": _top1(weights, test_rows) if test_rows else None, "loss_curve": curve, "n_train": len(train_rows)}
 
 
+def catalogue(options: DataFrame) -> list[tuple[str, str]]:
+    """(name, text) of all options, by oid; too many to train on are an error."""
+    names = [(r.name, r.text) for r in options.select("oid", "name", "text").orderBy("oid").limit(MOST_OPTIONS + 1).collect()]
+    if len(names) > MOST_OPTIONS:
+        raise ValueError(f"more than {MOST_OPTIONS} options")
+    return names
+
+
 def learned(gold: DataFrame, options: DataFrame, t: Training = Training(), sample: int = SAMPLE) -> DataFrame:
     """(n_train, n_test, best_epoch, test_top1, first_loss, last_loss) of a selector trained on gold (qid, context, label).
 
-    At most ``sample`` labelled rows are fetched, by a hash of their id.
+    At most ``sample`` labelled rows are fetched, by a hash of their id; more than MOST_OPTIONS options are an error.
     """
     spark = gold.sparkSession
-    names = [(r.name, r.text) for r in options.select("oid", "name", "text").orderBy("oid").limit(10_000).collect()]
+    names = catalogue(options)
     place = {name: i for i, (name, _) in enumerate(names)}
     known = gold.join(F.broadcast(options.select(F.col("name").alias("label"))), "label", "left_semi")
     rows = known.orderBy(F.xxhash64("qid"), "qid").limit(sample).select("qid", "context", "label").collect()

@@ -14,11 +14,17 @@ _made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    """The folder named by spark.checkpoint.dir; only where that is unset on one machine, as in tests, a temporary one.
+
+    On a cluster a folder of the driver's machine would not be seen by executors, so there it is an error.
+    """
     global _own
     named = spark.conf.get(SETTING, None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"{SETTING} must name a folder that all executors share")
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="tidepool-")
         atexit.register(_forget, _own)
