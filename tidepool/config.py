@@ -37,6 +37,8 @@ NOISE_MARKERS = (
     "system_reminder",
     "Be ACTIVE — most",
 )
+# Words of negation, longer ones first, as they stand without blanks (own choice).
+NEGATIONS = ("没有", "不再", "不是", "不", "没", "never", "not")
 # Words that are no concepts.
 STOP_WORDS = ("怎么", "怎样", "如何", "什么", "为什么", "为啥", "哪个", "是不是", "应该", "可以", "就是", "用来", "驱动", "今天", "天气", "很好", "一片")
 # Tags of a turn by the first group one of whose words the user said.

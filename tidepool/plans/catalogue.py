@@ -12,7 +12,7 @@ from tidepool.functions import text as T
 from tidepool.operators import evaluate, gates, graph, heat, journal, learn, recall, records, search, selector
 from tidepool.operators.unpack import unpack_values
 from tidepool.plans import oracle
-from tidepool.plans.inputs import AS_OF, KEYWORDS, OWNER, PROMPTS, SEEDS
+from tidepool.plans.inputs import AS_OF, KEYWORD, KEYWORDS, OWNER, PROMPTS, SEEDS
 from tidepool.streaming import turns as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,8 +33,10 @@ def _memories(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "memories")
 
 
-def _keywords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string")
+def _keywords(spark: SparkSession, folder: str) -> DataFrame:
+    """Fixed phrases, and the first run of letters of every memory whose id is divisible by 100."""
+    some = _memories(spark, folder).where("id % 100 = 0").select(F.regexp_extract("content", KEYWORD, 0).alias("keyword")).where("keyword <> ''")
+    return spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string").union(some).distinct()
 
 
 @query
@@ -164,6 +166,14 @@ def supersede(spark, folder):
     return gates.supersedes(_memories(spark, folder).where("status = 'active'")).withColumn("overlap", F.round("overlap", 6))
 
 
+@query
+def core_conflict(spark, folder):
+    """Every hundredth memory, negated, against the core memories: those of which the opposite is core are blocked."""
+    rows = _memories(spark, folder)
+    new = rows.where("id % 100 = 0 OR layer = 'core'").select("id", "owner", F.concat(F.lit("不"), "content").alias("content"))
+    return gates.core_conflicts(new, rows.where("layer = 'core'"))
+
+
 # -- text -----------------------------------------------------------------------------------------
 
 
@@ -216,17 +226,17 @@ def core_keywords(spark, folder):
 
 @query
 def fts_search(spark, folder):
-    return search.phrase_search(_memories(spark, folder), _keywords(spark), 10).withColumn("score", F.round("score", 6))
+    return search.phrase_search(_memories(spark, folder), _keywords(spark, folder), 10).withColumn("score", F.round("score", 6))
 
 
 @query
 def scan_search(spark, folder):
-    return search.scan_search(_memories(spark, folder), _keywords(spark), OWNER)
+    return search.scan_search(_memories(spark, folder), _keywords(spark, folder), OWNER)
 
 
 @query
 def search_with_fallback(spark, folder):
-    return search.search(_memories(spark, folder), _keywords(spark), OWNER)
+    return search.search(_memories(spark, folder), _keywords(spark, folder), OWNER)
 
 
 # -- selector -------------------------------------------------------------------------------------
@@ -391,7 +401,8 @@ def graph_sense(spark, folder):
 
 @query
 def graph_walk(spark, folder):
-    seeds = spark.createDataFrame(list(SEEDS), "qid bigint, rank bigint, node string")
+    some = _nodes(spark, folder).where("ord % 100 = 0").select((F.col("ord") + 1000).alias("qid"), F.lit(1).cast("bigint").alias("rank"), F.col("id").alias("node"))
+    seeds = spark.createDataFrame(list(SEEDS), "qid bigint, rank bigint, node string").union(some)
     return graph.walk(seeds, graph.adjacency(_edges(spark, folder)))
 
 
@@ -403,7 +414,8 @@ def prefetch(spark, folder):
 
 @query
 def spread(spark, folder):
-    seeds = spark.createDataFrame([(0, "n0", 1.0), (0, "n5", 0.5), (1, "n7", 1.0)], "qid bigint, node string, strength double")
+    some = _nodes(spark, folder).where("ord % 100 = 0").select((F.col("ord") + 1000).alias("qid"), F.col("id").alias("node"), F.lit(1.0).alias("strength"))
+    seeds = spark.createDataFrame([(0, "n0", 1.0), (0, "n5", 0.5), (1, "n7", 1.0)], "qid bigint, node string, strength double").union(some)
     return graph.spread(seeds, graph.adjacency(_edges(spark, folder))).withColumn("strength", F.round("strength", 9))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidepool.config import DEFAULT_TURN_TAG, EXEMPT_MARKER, FIRST_TURN_TAG, NOISE_MARKERS, PROTECTED_MARKERS, STOP_WORDS, TURN_TAGS
+from tidepool.config import DEFAULT_TURN_TAG, EXEMPT_MARKER, FIRST_TURN_TAG, NEGATIONS, NOISE_MARKERS, PROTECTED_MARKERS, STOP_WORDS, TURN_TAGS
 from tidepool.functions.text import PUNCTUATION, SPACE
 from tidepool.operators.journal import CONFIRMED, CORRECTED
-from tidepool.plans.inputs import AS_OF, KEYWORDS, OWNER, SEEDS
+from tidepool.plans.inputs import AS_OF, KEYWORD, KEYWORDS, OWNER, SEEDS
 
 
 def _any(column: str, words: tuple[str, ...]) -> str:
@@ -37,7 +37,7 @@ d AS (SELECT *, greatest(0.0::DOUBLE, coalesce(date_diff('second', sparked, TIME
 n AS (SELECT *, CASE WHEN protected THEN greatest(heat * exp(-0.02::DOUBLE * days), 0.5::DOUBLE) ELSE heat * exp(-0.10::DOUBLE * days) END AS new_heat FROM d),
 decayed AS (SELECT id, heat, new_heat, protected, abs(new_heat - heat) > 1e-6 AS changed, NOT protected AND new_heat < 0.15 AS cold FROM n)
 """
-_KEYWORDS = "keywords(keyword) AS (VALUES " + ", ".join(f"('{k}')" for k in KEYWORDS) + ")"
+_KEYWORDS = "fixed(keyword) AS (VALUES " + ", ".join(f"('{k}')" for k in KEYWORDS) + f"), keywords AS (SELECT keyword FROM fixed UNION SELECT regexp_extract(content, '{KEYWORD}', 0) FROM memories WHERE id % 100 = 0 AND regexp_matches(content, '{KEYWORD}'))"
 _SEQ = "seq AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY id) AS counter FROM memories WHERE owner IS NOT NULL AND id IS NOT NULL)"
 _TURNS = f"WITH {_SEQ}, turns AS (SELECT id, owner, counter, content AS usr, lead(content) OVER (PARTITION BY owner ORDER BY id) AS assistant, lead(content, 2) OVER (PARTITION BY owner ORDER BY id) AS next_user FROM seq)"
 _GRAMS = f"""
@@ -111,6 +111,10 @@ def statements() -> dict[str, str]:
       WHEN regexp_matches(content, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN regexp_extract(content, '\\d{{4}}-\\d{{2}}-\\d{{2}}') || ' 00:00:00' ELSE '' END AS event_time FROM memories"""
     q["dedup_window"] = _GRAMS + "SELECT id, old AS duplicate_of, round(overlap, 6) AS overlap FROM pairs WHERE n >= 12 AND overlap >= 0.95 QUALIFY row_number() OVER (PARTITION BY id ORDER BY overlap DESC, old DESC) = 1"
     q["supersede"] = _GRAMS + f"SELECT * FROM {_SUPERSEDE}"
+    bare = f"regexp_replace(t, '{'|'.join(NEGATIONS)}', '', 'g')"
+    q["core_conflict"] = f"""WITH t AS (SELECT id, owner, layer, {_normal('lower(content)')} AS t, {_normal("lower('不' || content)")} AS n FROM memories),
+      a AS (SELECT id, owner, {bare.replace('(t,', '(n,')} AS bare FROM t WHERE id % 100 = 0 OR layer = 'core'), c AS (SELECT id AS core_id, owner, {bare} AS bare, {bare} <> t AS negated FROM t WHERE layer = 'core')
+      SELECT id, min(core_id) AS core_id FROM a JOIN c ON a.owner = c.owner AND a.bare = c.bare WHERE a.bare <> '' AND NOT negated GROUP BY id"""
     q["normalise"] = f"SELECT id, {_normal('content')} AS text FROM memories"
     q["char_bigrams"] = f"SELECT id, len({_grams('content')})::BIGINT AS n FROM (SELECT id, coalesce(content, '') AS content FROM memories)"
     q["bigram_overlap"] = _TURNS + f", g AS (SELECT id, {_grams('usr')} AS a, {_grams('assistant')} AS b FROM turns WHERE usr IS NOT NULL AND assistant IS NOT NULL) SELECT id, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b))::DOUBLE ELSE 0.0::DOUBLE END, 6) AS overlap FROM g"
@@ -157,7 +161,7 @@ def statements() -> dict[str, str]:
       b AS (SELECT qid, node, max(score) AS score FROM h GROUP BY qid, node)
       SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord, node) AS rank, node, title, score FROM b JOIN n USING (node)) WHERE rank <= 5"""
     before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    q["graph_walk"] = f"""WITH {_ADJ}, seeds(qid, rank, node) AS (VALUES {', '.join(f"({a}::BIGINT, {b}, '{c}')" for a, b, c in SEEDS)}), s AS (SELECT qid, node, min(rank) AS place FROM seeds GROUP BY qid, node),
+    q["graph_walk"] = f"""WITH {_ADJ}, seeds(qid, rank, node) AS (VALUES {', '.join(f"({a}::BIGINT, {b}, '{c}')" for a, b, c in SEEDS)} UNION ALL SELECT 1000 + ord, 1, id FROM nodes WHERE ord % 100 = 0), s AS (SELECT qid, node, min(rank) AS place FROM seeds GROUP BY qid, node),
       f1 AS (SELECT s.qid, s.place AS parent, adj_ord, neighbour AS node, relation FROM s JOIN adj USING (node) WHERE NOT EXISTS (SELECT 1 FROM s x WHERE x.qid = s.qid AND x.node = neighbour) QUALIFY row_number() OVER (PARTITION BY s.qid, neighbour ORDER BY s.place, adj_ord) = 1),
       c1 AS (SELECT qid, parent, coalesce(sum(count(*)) OVER (PARTITION BY qid ORDER BY parent {before}), 0) AS earlier FROM f1 GROUP BY qid, parent),
       l1 AS (SELECT f1.qid, (earlier + row_number() OVER (PARTITION BY f1.qid, f1.parent ORDER BY adj_ord))::BIGINT AS place, node, relation, 1::BIGINT AS depth FROM f1 JOIN c1 ON c1.qid = f1.qid AND c1.parent = f1.parent WHERE earlier < 8),
@@ -168,13 +172,13 @@ def statements() -> dict[str, str]:
       SELECT * FROM l1 UNION ALL SELECT * FROM l2"""
     step = "SELECT p.qid, h.neighbour AS node, sum(p.strength * h.share * 0.5::DOUBLE) AS strength FROM {0} p JOIN sh h ON h.node = p.node GROUP BY p.qid, h.neighbour"
     q["spread"] = f"""WITH {_ADJ}, dg AS (SELECT node, count(*) AS d FROM adj GROUP BY node), sh AS (SELECT node, neighbour, count(*) / max(d)::DOUBLE AS share FROM adj JOIN dg USING (node) GROUP BY node, neighbour),
-      p0(qid, node, strength) AS (VALUES (0::BIGINT, 'n0', 1.0::DOUBLE), (0, 'n5', 0.5), (1, 'n7', 1.0)), p1 AS ({step.format('p0')}), p2 AS ({step.format('p1')})
+      p0(qid, node, strength) AS (VALUES (0::BIGINT, 'n0', 1.0::DOUBLE), (0, 'n5', 0.5), (1, 'n7', 1.0) UNION ALL SELECT 1000 + ord, id, 1.0 FROM nodes WHERE ord % 100 = 0), p1 AS ({step.format('p0')}), p2 AS ({step.format('p1')})
       SELECT qid, node, round(sum(strength), 9) AS strength FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY qid, node"""
     q["cooccurrence"] = "WITH i AS (SELECT DISTINCT src, relation FROM edges WHERE src IS NOT NULL AND relation IS NOT NULL) SELECT x.relation AS a, y.relation AS b, count(*) AS n FROM i x JOIN i y ON x.src = y.src AND x.relation < y.relation GROUP BY 1, 2 HAVING count(*) >= 2"
     q["theme_partition"] = f"""WITH RECURSIVE {_ADJ}, links AS (SELECT DISTINCT node, neighbour FROM adj), r(node, far) AS (SELECT DISTINCT node, node FROM links UNION SELECT r.node, l.neighbour FROM r JOIN links l ON l.node = r.far),
       p AS (SELECT node, min(far) AS part FROM r GROUP BY node), d AS (SELECT node, count(*) AS d FROM links GROUP BY node)
       SELECT node, part, row_number() OVER (PARTITION BY part ORDER BY d DESC, node) = 1 AS is_centre FROM p JOIN d USING (node)"""
-    q["recall_channels"] = _FTS.replace("('notes_')", "('logbook')") + f""", idn AS ({identity}), weak AS (SELECT DISTINCT source AS topic FROM memories WHERE heat >= confidence AND source IS NOT NULL),
+    q["recall_channels"] = _FTS.replace("('notes_')", "('notes_'), ('logbook')") + f""", idn AS ({identity}), weak AS (SELECT DISTINCT source AS topic FROM memories WHERE heat >= confidence AND source IS NOT NULL),
       a AS (SELECT 'identity' AS channel, 1::BIGINT AS channel_rank, rank, id::VARCHAR AS id, line FROM idn UNION ALL SELECT 'lit', 2, rank, ranked.id::VARCHAR, substr(coalesce(content, ''), 1, 25) FROM ranked JOIN memories m ON m.id = ranked.id WHERE keyword = 'logbook'
       UNION ALL SELECT 'premonition', 4, row_number() OVER (ORDER BY id DESC), id::VARCHAR, substr(coalesce(content, ''), 1, 25) FROM memories WHERE owner = '{OWNER}' AND status = 'active' UNION ALL SELECT 'weak', 5, row_number() OVER (ORDER BY topic), topic, topic FROM weak)
       SELECT * FROM a WHERE rank <= 3"""
