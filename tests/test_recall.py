@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidepool.api import Engine
@@ -80,6 +82,19 @@ def test_engine_and_commands(spark, tmp_path):
     found = json.loads(engine.call("recall", {"query": "编译器"}, NOW))["results"]
     assert [x["id"] for x in found] == [1, 2] and "error" in json.loads(engine.call("x", {}, NOW))
     assert engine.recall("编译器")["hit"] and engine.health()["rows"] == 2 and len(engine.tools()) == 2
+    # readers see what was superseded, and what contradicts a core memory is not written
+    assert [r.id for r in engine.light("编译器").collect()] == [2] and engine.overview().first().outdated == 1
+    assert json.loads(engine.call("save", {"content": "缓存目录保存在磁盘甲的上面", "tags": "教训"}, NOW))["id"] == 3
+    assert json.loads(engine.call("save", {"content": "缓存目录不保存在磁盘甲的上面"}, NOW)) == {"status": "blocked:3", "id": None}
+    assert engine.recall("编译器")["weak"] == ["缓存目录保存在磁盘甲的上面"] and engine.top_concepts("zzz 缓存目录 zzz") == ["缓存目录", "zzz", "zzz"]
+    assert [r.id for r in engine.identity_line("缓存目录").collect()] == [3]
+    assert engine.turn("编译器", ("编译器", "编译器好了"))[0] == "lit" and engine.turn("别的事情没有人知道")[0] == "premonition" and engine.turn("") == ("none", "")
+    assert spark.read.parquet(f"{tmp_path}/memories_effects").first().cited == 1
+    assert engine.organise(19) is None and engine.organise(20).count() == 1
+    # heat that has cooled is what is read next
+    stores.append_ledger(spark.createDataFrame([(2, 0, "2026-01-01 00:00:00", 2.0)], "id bigint, seq bigint, at string, heat double"), engine.path)
+    assert engine.decay("2026-03-02 00:00:00").first().new_heat == pytest.approx(2.0 * 2.718281828 ** -0.1)
+    assert {r.id: round(r.heat, 3) for r in engine.state().collect()}[2] == round(2.0 * 2.718281828 ** -0.1, 3)
     for command in COMMANDS:
         assert isinstance(run(engine, command, "编译器", "x", NOW), str)
 

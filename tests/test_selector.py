@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from tidepool import selector_cli as cli
 from tidepool.config import Training
 from tidepool.operators import evaluate, learn, selector
 from tidepool.sources import stores
@@ -113,6 +114,7 @@ def test_training_goes_down_the_loss_unless_told_to_climb():
 
 def test_split_sizes():
     train, test = learn.split(list(range(92)))
+    assert len(learn.split(list(range(92)), rounded=True)[1]) == 28
     assert (len(train), len(test)) == (65, 27) and sorted(train + test) == list(range(92)) and len(learn.split([1])[1]) == 1
 
 
@@ -130,6 +132,36 @@ def test_files(spark, tmp_path):
     assert m.w == {"bm25": 1.0} and m.lex.idf == {"w": 0.5} and (m.lex.avgdl, m.lex.n) == (2.0, 3)
 
 
+def test_learned_weights_score_tables(spark):
+    options, rows, _, _ = setting(spark, TOOLS, [(1, "open the page 读", None), (2, "lists a shelf zip", None), (3, None, None)])
+    known = learn.catalogue(options)
+    m = learn.train([("open a page", 0), ("a shelf list", 0), ("zip it", 2)], [x for _, x in known], t=Training(epochs=3))
+    lex = learn.Lexicon.fit([x for _, x in known])
+    got = {(r.qid, r.oid): r.score for r in selector.weighted_scores(rows, options, *selector.fit_lexical(options), m["w"]).collect()}
+    assert len(got) == 9 and any(k.startswith("xb:") for k in m["w"])
+    for r in rows.collect():
+        e = [math.exp(got[r.qid, i]) for i in range(3)]
+        assert [x / sum(e) for x in e] == pytest.approx(list(learn.Scorer(m["w"], lex).chances(r.context, [x for _, x in known])))
+
+
+def test_selector_commands(spark, tmp_path):
+    put = lambda name, rows: (tmp_path / name).write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows), encoding="utf-8") and str(tmp_path / name)
+    tools = put("tools.json", [{"tools": [{"name": n, "description": d} for n, d in TOOLS]}])
+    gold = put("gold.jsonl", [{"context": f"open the page {i}", "label": "read_page"} for i in range(10)] + [{"context": "shelf", "label": "unknown"}])
+    log = put("journal.jsonl", [{"run_id": "r", "kind": "task_start", "task": "open the page", "vision": {"visible": ["read_page", "zip"]}}, {"run_id": "r", "kind": "round", "tool": "read_page"}, {"kind": "a_shadow_result", "match": True}, {"kind": "a_shadow_result", "match": False}, {"kind": "a_shadow"}])
+    rows = put("rows.jsonl", [{"context": "page", "options": ["alpha page", "beta shelf"], "label": 0}, {"context": "shelf", "options": ["beta shelf"], "label": 0}, {"context": "x", "options": ["y"], "label": 4}])
+    model = str(tmp_path / "m.json")
+    assert cli.main(["train", rows, "--out", model, "--epochs", "2"]).startswith("2 rows")
+    assert json.loads(cli.main(["eval", model, rows]))["n"] == 2
+    assert cli.main(["predict", model, "--context", "page", "--option", "beta shelf", "--option", "alpha page"]).splitlines()[0].endswith("alpha page")
+    assert cli.main(["build", "--gold", gold, "--tools", tools]) == "10 rows, 3 options" and cli.main(["build", "--journal", log, "--tools", tools]) == "1 rows, 3 options"
+    report = json.loads(cli.main(["bench", "--gold", gold, "--tools", tools]))
+    assert (report["n_train"], report["n_test"], report["lexical_top1"], report["metrics"]["hits"]) == (7, 3, 1.0, 10)
+    assert cli.main(["default", "--gold", gold, "--tools", tools, "--out", model]).startswith("10 rows") and stores.read_model(spark, model).first().w == {"bm25": 1.0}
+    assert len(cli.main(["behavior", "--gold", gold, "--tools", tools]).splitlines()) == 7
+    assert json.loads(cli.main(["shadow", "--journal", log]))["rate"] == 0.5 and json.loads(cli.main(["shadow", "--journal", log, "--last", "1"]))["rate"] == 0.0
+
+
 DATA = os.environ.get("SELECTOR_DATA", "")
 
 

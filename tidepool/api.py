@@ -25,7 +25,8 @@ class Engine:
 
     @property
     def memories(self) -> DataFrame:
-        return stores.memory_table(self.spark, self.path)
+        """All memories with their status and heat by now: every reader sees what the ledger says."""
+        return stores.current_table(self.spark, self.path)
 
     @property
     def available(self) -> bool:
@@ -36,9 +37,10 @@ class Engine:
     def write(self, rows: DataFrame, now: str, p: Write = Write()) -> DataFrame:
         """Write new texts (content, tag), in the order of ``place``; returns (place, id, verdict).
 
-        Verdicts: shell, noise, duplicate:<id>, saved. New rows are compared with the owner's latest
-        active memories and with each other; superseded memories get an outdated copy of their row in
-        the ledger of states, the table itself is only appended to.
+        Verdicts: shell, noise, blocked:<id of the core memory it contradicts>, duplicate:<id>, saved.
+        New rows are compared with the owner's latest active memories and with each other. A memory that
+        a saved one supersedes gets an entry in the ledger, which all readers follow; the table itself
+        is only appended to.
         """
         held = self.memories
         top = held.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first().top
@@ -48,8 +50,12 @@ class Engine:
         fresh, fresh_path = cut(numbered.select("id", "owner", "place", "content", "tag"), "fresh")
         latest = records.recent(held.where(F.col("owner") == self.owner), p.dedup_window).select("id", "owner", "content").join(held.select("id", "tags"), "id")
         both = latest.unionByName(fresh.select("id", "owner", "content", F.to_json(F.array("tag")).alias("tags")))
+        core = held.where((F.col("owner") == self.owner) & (F.col("layer") == "core") & (F.col("status") == "active"))
+        blocked, blocked_path = cut(gates.core_conflicts(fresh, core), "blocked")
+        both = both.join(blocked, "id", "left_anti")
         repeats = gates.duplicates_recent(both, p).select("id", "duplicate_of")
-        good = fresh.join(repeats, "id", "left_anti")
+        good = fresh.join(repeats, "id", "left_anti").join(blocked, "id", "left_anti")
+        replaced = gates.supersedes(both.join(repeats, "id", "left_anti"), p).join(good.select("id"), "id", "left_semi")
         at = F.lit(now)
         told = event_time(F.col("content"), F.lit(now).cast("timestamp_ntz"))
         saved = good.select(
@@ -57,19 +63,17 @@ class Engine:
             F.lit("write").alias("source"), at.alias("created_at"), at.alias("updated_at"), gates.layer_of(F.col("tag")).alias("layer"), F.when(told != "", told).otherwise(at).alias("event_time"),
             F.lit(0.0).alias("heat"), F.lit(None).cast("string").alias("last_sparked_at"), F.lit(0).alias("hit_count"),
         )
-        verdicts = text.select("place", "gate").join(fresh.select("place", "id"), "place", "left").join(repeats, "id", "left")
-        verdict = F.when(F.col("gate") != "pass", F.col("gate")).when(F.col("duplicate_of").isNotNull(), F.concat(F.lit("duplicate:"), "duplicate_of")).otherwise("saved")
+        verdicts = text.select("place", "gate").join(fresh.select("place", "id"), "place", "left").join(repeats, "id", "left").join(blocked, "id", "left")
+        verdict = F.when(F.col("gate") != "pass", F.col("gate")).when(F.col("core_id").isNotNull(), F.concat(F.lit("blocked:"), "core_id")).when(F.col("duplicate_of").isNotNull(), F.concat(F.lit("duplicate:"), "duplicate_of")).otherwise("saved")
         out, _ = cut(verdicts.select("place", F.when(verdict == "saved", F.col("id")).alias("id"), verdict.alias("verdict")), "verdicts")
         stores.append_memories(saved, self.path)
-        drop(self.spark, fresh_path)
+        stores.append_ledger(replaced.select(F.col("outdated").alias("id"), F.col("id").alias("seq"), at.alias("at"), F.lit("outdated").alias("status")), self.path)
+        drop(self.spark, fresh_path, blocked_path)
         return out
 
-    def state(self, p: Write = Write()) -> DataFrame:
-        """(id, at, status): the status of each memory now, superseded ones outdated."""
-        rows = self.memories.where("status = 'active'")
-        first = rows.select("id", F.lit(0).cast("bigint").alias("seq"), F.col("id").alias("at"), "status")
-        later = gates.supersedes(rows, p).select(F.col("outdated").alias("id"), F.lit(1).cast("bigint").alias("seq"), F.col("id").alias("at"), F.lit("outdated").alias("status"))
-        return gates.current_state(first.union(later)).select("id", "at", "status")
+    def state(self) -> DataFrame:
+        """(id, status, heat) of each memory by now."""
+        return self.memories.select("id", "status", "heat")
 
     # -- recall chain -----------------------------------------------------------------------------
 
@@ -83,6 +87,15 @@ class Engine:
     def concepts(self, text: str) -> list[str]:
         return self._texts(text).select(concepts(F.col("text"), STOP_WORDS).alias("c")).first().c
 
+    def top_concepts(self, text: str, n: int = 5) -> list[str]:
+        """The concepts of a text that most of the owner's memories hold, as many first as are asked for; ties as in the text."""
+        words = self.concepts(text)
+        if not words:
+            return []
+        rows = self.memories.where((F.col("owner") == self.owner) & (F.col("status") == "active"))
+        counts = rows.agg(*(F.count_if(F.contains("content", F.lit(w))).alias(f"n{i}") for i, w in enumerate(words))).first()
+        return [words[i] for i in sorted(range(len(words)), key=lambda i: (-counts[i], i))[:n]]
+
     def light(self, text: str, limit: int = 5) -> DataFrame:
         """Memories that hold a concept of the text exactly, the most concepts first (own design)."""
         words = self.concepts(text)
@@ -112,7 +125,39 @@ class Engine:
         lit = [r.content[:25] for r in self.light(text, 3).collect()]
         near = [(r.content or "")[:25] for r in self.associate(text).limit(3).collect()]
         last = [(r.content or "")[:60] for r in self.premonition(1).collect()]
-        return {"hit": bool(lit or near), "identity": identity, "lit": lit, "associated": near, "premonition": last}
+        weak = [x[:20] for x in self.portrait(2)["lessons"]]
+        return {"hit": bool(lit or near), "identity": identity, "lit": lit, "associated": near, "premonition": last, "weak": weak}
+
+    def turn(self, text: str, last: tuple[str, str] | None = None) -> tuple[str, str]:
+        """(channel, text) for a turn: settle what the last turn (injected, answer) brought, then the first of lit,
+        premonition and background that has an answer."""
+        if last is not None:
+            row = self.spark.createDataFrame([(self.owner, *last, text)], "owner string, injected string, answer string, next_user string")
+            journal.effects(row).withColumn("at", F.current_timestamp().cast("string")).write.mode("append").parquet(self.path.rstrip("/") + "_effects")
+        for channel, rows in (("lit", lambda: self.light(text)), ("premonition", lambda: self.premonition(1) if self.concepts(text) else None), ("background", lambda: self.associate(text))):
+            found = rows() if text else None
+            if found is not None and (lines := [f"- {(r.content or '')[: Walk().line]}" for r in found.collect()]):
+                return channel, "\n".join(lines)
+        return "none", ""
+
+    def identity_line(self, text: str, cap: int = 6) -> DataFrame:
+        """(id, layer, content) of the core memories that share most concepts with a text, at most ``cap`` (own design)."""
+        words = self.concepts(text)
+        held = sum((F.coalesce(F.contains("content", F.lit(w)), F.lit(False)).cast("int") for w in words), F.lit(0))
+        rows = self.memories.where((F.col("owner") == self.owner) & (F.col("layer") == "core") & (F.col("status") == "active"))
+        return rows.withColumn("held", held).orderBy(F.desc("held"), F.desc_nulls_last("confidence"), "id").limit(cap).select("id", "layer", "content")
+
+    def sleep(self, as_of: str) -> dict[str, int]:
+        """The step before sleep: heat cools, what is old and cold is counted, health is looked at (own design)."""
+        summary = heat.decay_summary(self.decay(as_of)).first().asDict()
+        return summary | {"compressed": self.compress(as_of).where("compressed").count()} | self.health()
+
+    def organise(self, turns: int, every: int = 20) -> DataFrame | None:
+        """Hourly narratives of the owner's memories, every so many turns; nothing between (own design)."""
+        if turns % every:
+            return None
+        rows = self.memories.where(F.col("owner") == self.owner).withColumn("_at", F.try_to_timestamp("created_at").cast("timestamp_ntz")).where("_at IS NOT NULL")
+        return recall.narratives(rows, "_at", F.col("owner"), "tags")
 
     def system_block(self, text: str = "", budget: int = 20) -> str:
         """Lines for a prompt: a cover of the memories, dense near the end, and what the text lights."""
@@ -123,7 +168,7 @@ class Engine:
         lit = self.light(text, 4).collect() if text else []
         shown = recall.cover(self.memories.where((F.col("owner") == self.owner) & (F.col("status") == "active")), budget if lit or not text else 3)
         lines = [f"- [{r.tags}] {r.content[:80]}" for r in rows.join(shown, "id").orderBy("id").collect()]
-        return "\n".join([f"{total} memories, {len(lines)} shown", *lines, *(f"  * {r.content[:60]}" for r in lit), *((["concepts: " + ", ".join(self.concepts(text)[:5])]) if text else [])])
+        return "\n".join([f"{total} memories, {len(lines)} shown", *lines, *(f"  * {r.content[:60]}" for r in lit), *((["concepts: " + ", ".join(self.top_concepts(text))]) if text else [])])
 
     def warm_up(self, text: str, cap: int = 10) -> DataFrame:
         """(route, id, content): what each route of recall would bring for a text, at most ``cap`` rows (own design)."""
@@ -144,7 +189,10 @@ class Engine:
     # -- upkeep -----------------------------------------------------------------------------------
 
     def decay(self, as_of: str, p: Heat = Heat()) -> DataFrame:
-        return heat.decay(self.memories, as_of, p)
+        """What heat.decay() makes of the memories; the new heat of those that changed goes to the ledger."""
+        done, _ = cut(heat.decay(self.memories, as_of, p), "decayed")
+        stores.append_ledger(done.where("changed").select("id", F.lit(0).alias("seq"), F.lit(as_of).alias("at"), F.col("new_heat").alias("heat")), self.path)
+        return done
 
     def rhythm(self, p: Heat = Heat()) -> DataFrame:
         return heat.histogram(self.memories.where(F.col("owner") == self.owner), p)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidepool.api import Engine
 from tidepool.sources import stores
 
-COMMANDS = ("write", "recall", "light", "associate", "premonition", "portrait", "search", "decay", "rhythm", "compress", "weave", "themes", "overview", "health", "state", "identity", "parameters", "wake", "warmup", "scorecard", "preview")
+COMMANDS = ("write", "recall", "light", "associate", "premonition", "portrait", "search", "decay", "rhythm", "compress", "weave", "themes", "overview", "health", "state", "identity", "parameters", "wake", "warmup", "scorecard", "preview", "sleep")
 
 
 def run(engine: Engine, command: str, text: str, tags: str, now: str) -> str:
@@ -33,7 +33,8 @@ def run(engine: Engine, command: str, text: str, tags: str, now: str) -> str:
         "overview": lambda: show(engine.overview()),
         "health": lambda: json.dumps(engine.health()),
         "state": lambda: show(engine.state()),
-        "identity": lambda: "\n".join(engine.recall(text)["identity"]),
+        "identity": lambda: show(engine.identity_line(text)),
+        "sleep": lambda: json.dumps(engine.sleep(now)),
         "parameters": lambda: json.dumps(engine.parameters(), ensure_ascii=False, default=str),
         "warmup": lambda: show(engine.warm_up(text)),
         "scorecard": lambda: show(engine.scorecard()),

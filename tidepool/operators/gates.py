@@ -67,9 +67,13 @@ def _recent_pairs(rows: DataFrame, window: int, seq: str = "seq", group: str = "
 BITMAP = 4
 
 
-def _bitmap(codes: Column) -> list[Column]:
-    """Words with a bit set for each code's hash."""
-    bits = F.transform(codes, lambda x: F.pmod(F.xxhash64(x), F.lit(64 * BITMAP)).cast("int"))
+def _bits(codes: Column) -> Column:
+    """A bit of the bitmap for each code."""
+    return F.transform(codes, lambda x: F.pmod(F.xxhash64(x), F.lit(64 * BITMAP)).cast("int"))
+
+
+def _bitmap(bits: Column) -> list[Column]:
+    """Words in which the bits are set."""
     none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
 
     def word(i: int) -> Column:
@@ -83,7 +87,8 @@ def _grams(memories: DataFrame) -> tuple[DataFrame, str]:
     rows = memories.where("content IS NOT NULL").select("owner", "id", "content", "tags")
     rows = numbered(rows, "owner", "id")
     grams = rows.select("owner", "id", "seq", bigram_codes(F.col("content")).alias("grams"), F.length(normalised(F.col("content"))).alias("len"), contains_any(F.col("tags"), (EXEMPT_MARKER,)).alias("exempt"))
-    grams = grams.select("*", F.size("grams").alias("size"), *(w.alias(f"m{i}") for i, w in enumerate(_bitmap(F.col("grams")))))
+    grams = grams.select("*", F.size("grams").alias("size"), _bits(F.col("grams")).alias("bits"))
+    grams = grams.select("*", *(w.alias(f"m{i}") for i, w in enumerate(_bitmap(F.col("bits"))))).drop("bits")
     # written once: each row is met as the new and as the old one of its pairs
     return cut(grams, "grams")
 

@@ -9,6 +9,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,3 +140,45 @@ def learned(gold: DataFrame, options: DataFrame, t: Training = Training(), sampl
     m = train(a, [x for _, x in names], b, t) if rows else {"n_train": 0, "best_epoch": 0, "top1": None, "loss_curve": []}
     first, last = (m["loss_curve"] or [None])[0], (m["loss_curve"] or [None])[-1]
     return spark.createDataFrame([(m["n_train"], len(b), m["best_epoch"], m["top1"], first, last)], "n_train bigint, n_test bigint, best_epoch bigint, test_top1 double, first_loss double, last_loss double")
+
+
+class Scorer:
+    """Chances of options by a stored model: weights by the names of features, and the lexicon fitted on its options."""
+
+    def __init__(self, w: dict[str, float], lexicon: Lexicon) -> None:
+        self.w, self.lexicon = w, lexicon
+
+    @classmethod
+    def of(cls, model: dict) -> Scorer:
+        lex = model["lex"]
+        return cls(model["w"], Lexicon(lex["idf"], lex["avgdl"], lex["n"]))
+
+    def chances(self, context: str | None, options: list[str]) -> np.ndarray:
+        """The probability of each option; nothing without options."""
+        if not options:
+            return np.zeros(0)
+        examples = Examples(options, self.lexicon)
+        pairs = examples.of(context)
+        return _chances(np.array([self.w.get(name, 0.0) for name in examples.index]), pairs)
+
+
+def decided(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """(label, ok, p_gold, confidence, margin) of decision rows (context, options, label), each with options of its own.
+
+    Rows whose label is no place in their options, or null, are left out.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for context, options, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if options and label is not None and 0 <= label < len(options):
+                    p = scorer.chances(context, options)
+                    best = np.argsort(-p, kind="stable")
+                    second = p[best[1]] if len(p) > 1 else 0.0
+                    out.append((options[label].split()[0] if options[label].split() else "", bool(best[0] == label), float(p[label]), float(p[best[0]]), float(p[best[0]] - second)))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.bool_(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["label", "ok", "p_gold", "confidence", "margin"])
+
+    return rows.select("context", "options", F.col("label").cast("int")).mapInArrow(run, "label string, ok boolean, p_gold double, confidence double, margin double")

@@ -63,6 +63,31 @@ def features(contexts: DataFrame, options: DataFrame, scores: DataFrame, p: Sele
     return rows.select("qid", "oid", "shared", F.least("shared", F.lit(5)).cast("bigint").alias("ov"), ratio.alias("ratio"), F.coalesce("shared_bigrams", F.lit(0)).cast("bigint").alias("shared_bigrams"), (F.least("bm25", F.lit(p.cap)) / p.scale).alias("bm25"))
 
 
+def weighted_scores(contexts: DataFrame, options: DataFrame, idf: DataFrame, stats: DataFrame, w: dict[str, float], p: Selector = Selector()) -> DataFrame:
+    """(qid, oid, score) of every option of each context by the learned weights ``w`` of features, by name.
+
+    The same features as learn.Examples: bm25, shared tokens (x:), tokens of the option (o:), buckets of
+    their number (ov:) and share (or:), a bias, shared pairs of tokens (xb:). Weights are as many as the
+    options' tokens and pairs; they meet contexts in the joins by token and by pair.
+    """
+    spark = contexts.sparkSession
+    learned = spark.createDataFrame([(k, float(v)) for k, v in w.items()] or [("", 0.0)], "feature string, value double")
+    of = lambda prefix, name: learned.where(F.col("feature").startswith(prefix)).select(F.substring("feature", len(prefix) + 1, 1 << 20).alias(name), F.col("value").alias(f"{name}_value"))
+    weights = token_weights(options, idf, stats, p)
+    scores = bm25_scores(contexts, weights)
+    asked = contexts.select("qid", F.explode(F.array_distinct(tokens(F.col("context")))).alias("w"))
+    shared = asked.join(of("x:", "w"), "w").join(weights.select("w", "oid"), "w").groupBy("qid", "oid").agg(F.sum("w_value").alias("x"))
+    pair = lambda df, key, text: df.select(key, F.explode(token_bigrams(tokens(F.col(text)))).alias("g"))
+    pairs = pair(contexts, "qid", "context").join(of("xb:", "g"), "g").join(pair(options, "oid", "text"), "g").groupBy("qid", "oid").agg(F.sum("g_value").alias("xb"))
+    own = options.select("oid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w")).join(of("o:", "w"), "w").groupBy("oid").agg(F.sum("w_value").alias("own"))
+    rows = of_all_options(contexts, options, features(contexts, options, scores, p))
+    rows = rows.join(shared, ["qid", "oid"], "left").join(pairs, ["qid", "oid"], "left").join(own, "oid", "left")
+    bucket = lambda prefix, c: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i in range(11) for x in (i, float(w.get(f"{prefix}{i}", 0.0))))), F.col(c).cast("int")), F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    score = F.col("bm25") * float(w.get("bm25", 0.0)) + zero("x") + zero("xb") + zero("own") + bucket("ov:", "ov") + bucket("or:", "ratio") + float(w.get("bias", 0.0))
+    return rows.select("qid", "oid", score.alias("score"))
+
+
 def predictions(contexts: DataFrame, options: DataFrame, scores: DataFrame, p: Selector = Selector()) -> DataFrame:
     """(qid, choice, confidence, margin, ranking, z, top): the softmax over all options of each context.
 

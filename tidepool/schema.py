@@ -8,6 +8,8 @@ MEMORIES = (
 )
 #: Columns that are read where there are any and that no stored table need have.
 OPTIONAL = {"self_relevance": "double", "narrative_id": "string", "block_id": "string"}
+#: Entries of the ledger beside a memory table: what changed of a memory, and when; null is unchanged.
+LEDGER = "id bigint, seq bigint, at string, status string, heat double"
 IDENTITY = "id bigint, content string, tags string, importance double"
 CONFLICTS = "topic string, weak_point double, threshold double"
 NODES = "id string, title string, type string, ord bigint"

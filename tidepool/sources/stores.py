@@ -50,6 +50,29 @@ def append_memories(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def ledger_path(path: str) -> str:
+    return path.rstrip("/") + "_ledger"
+
+
+def append_ledger(rows: DataFrame, path: str) -> None:
+    """Append entries (id, seq, at, and status or heat) to the ledger beside a memory table."""
+    kinds = dict(x.split() for x in schema.LEDGER.split(", "))
+    full = rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()))
+    full.write.mode("append").parquet(ledger_path(path))
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """memory_table() as it is by now: the latest status and the latest heat of each memory that the ledger has of it."""
+    rows = memory_table(spark, path)
+    if not exists(spark, ledger_path(path)):
+        return rows
+    ledger = spark.read.schema(schema.LEDGER).parquet(ledger_path(path))
+    when = lambda c: F.when(F.col(c).isNotNull(), F.struct("at", "seq"))
+    now = ledger.groupBy("id").agg(*(F.max_by(c, when(c)).alias(f"_{c}") for c in ("status", "heat")))
+    both = rows.join(now, "id", "left")
+    return both.select(*(F.coalesce(f"_{c}", c).alias(c) if c in ("status", "heat") else F.col(c) for c in rows.columns))
+
+
 # -- JSON store: {entries: [{id, time, tag, content}], next_id, meta} -------------------------------
 
 # Keys of a graph index, in either language.
