@@ -45,6 +45,13 @@ def test_a_hot_group_of_copies_and_of_small_edits(spark):
     assert got == {(0, i) for i in range(1, 2500)}
 
 
+def test_an_owner_of_many_alike_templates(spark):
+    base = sentence(random.Random(3), 14)
+    rows = [(i, "hot", base + f" {i}号", None, None, *[None] * 4) for i in range(4_000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    assert neardup.near_duplicates(df).agg({"id_a": "max", "id_b": "count"}).first() == (0, 3_999)
+
+
 def test_bucket_output_is_linear():
     n, w = 5000, 8
     run = neardup.bucket_neighbours(128, w)
@@ -72,11 +79,12 @@ def test_the_rest_of_large_buckets_is_compared(spark, monkeypatch):
     assert len(got & expected) >= 0.99 * len(expected) and len(got - expected) <= 0.01 * len(expected)
 
 
-def test_rest_skips_the_largest_group():
-    ids, group = np.arange(6), np.array([7, 7, 7, 3, 4, 4])
-    batch = lambda a, b, key: pa.RecordBatch.from_arrays([pa.array(np.full(b - a, key, np.int32)), pa.array(ids[a:b]), pa.array(group[a:b]), *[pa.array(np.zeros(b - a, np.int64))] * 2], names=["key", "id", "group", "s1", "s2"])
-    pairs = sorted((a, b) for out in neardup.rest_of_buckets(0)(iter([batch(0, 2, 1), batch(2, 5, 1), batch(5, 6, 2)])) for a, b in zip(out[0].to_pylist(), out[1].to_pylist(), strict=True))
-    assert pairs == [(0, 3), (0, 4), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+@pytest.mark.parametrize("chunk", [1, 2, 100])
+def test_rest_skips_the_largest_group(spark, chunk):
+    rows = [(k, i, g, 0, 0) for k, ids in ((1, (0, 1)), (2, (2, 3, 4)), (3, (5,)), (4, (0, 3))) for i, g in zip(ids, [(7, 7, 7, 3, 4, 4)[i] for i in ids], strict=True)]
+    named = spark.createDataFrame(rows, "key int, id bigint, group bigint, s1 bigint, s2 bigint")
+    got = {tuple(r) for r in neardup.split_buckets(named, chunk).mapInArrow(neardup.rest_of_buckets(0), "a bigint, b bigint").collect()}
+    assert got == {(2, 3), (2, 4), (3, 4), (0, 3)}
 
 
 def test_signatures_estimate_likeness():

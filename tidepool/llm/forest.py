@@ -32,7 +32,7 @@ FIRST, GROWTH, SURE = 16, 16, 14
 #: Runs of about one size (within a factor of FAN) after which they are merged into one.
 FAN = 4
 #: Rows of one tree in a part of a run's index, records in a part of its cores, and bytes of a row group in both.
-PART_ROWS, PART_CORES, GROUP_BYTES = 1_000_000, 200_000, 1 << 18
+PART_ROWS, PART_CORES, GROUP_BYTES = 500_000, 50_000, 1 << 18
 #: Links up to which duplicates among a batch's own entries are resolved in one task (24 bytes each).
 ONE_TASK = 2_000_000
 _KEYS = [f"t{i}" for i in range(TREES)]

@@ -15,6 +15,7 @@ total AS (SELECT src, sum(tf) AS total FROM tf GROUP BY src)
 def oracle_sql() -> dict[str, str]:
     scored = "SELECT src, rec_key, term, tf, df, cf / total::DOUBLE AS c, (tf + 50 * (cf / total::DOUBLE)) / (size + 50::DOUBLE) AS p FROM tf JOIN df USING (src, term) JOIN total USING (src) WHERE df >= 2"
     return {
+        "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p1_found": _TERMS + "SELECT src, rec_key, term FROM tf JOIN df USING (src, term) WHERE tf >= 3 AND df BETWEEN 2 AND 6",
         "p1_scores": _TERMS + f"SELECT src, rec_key, term, tf, df, round(p * ln(p / c), 6) AS score FROM ({scored})",
     }
