@@ -42,6 +42,15 @@ def test_any_text(encoder, reference, texts):
     assert encoder.encode(texts).to_pylist() == [reference(t) for t in texts]
 
 
+def test_common_words_are_kept_when_rare_ones_are_forgotten(monkeypatch, reference):
+    monkeypatch.setattr(encode, "KEPT_WORDS", 40)
+    e, rnd = encode.Encoder(encode.load_merges(encode.TOKENIZERS)), random.Random(2)
+    for _ in range(12):
+        texts = [f"common words stay {rnd.random()} {rnd.choice('abcdef')}{rnd.randrange(99)}" for _ in range(2)]
+        assert e.encode(texts).to_pylist() == [reference(t) for t in texts]
+        assert len(e.index) <= 40 and {"common", " words", " stay"} <= set(e.index) and len(e.used) == len(e.index) == len(e.sizes[0])
+
+
 def test_words_are_forgotten_before_they_fill_the_memory(monkeypatch, reference):
     monkeypatch.setattr(encode, "KEPT_WORDS", 3)
     monkeypatch.setattr(encode, "QUERY_ROWS", 50)
