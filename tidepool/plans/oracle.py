@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidepool.config import DEFAULT_TURN_TAG, EXEMPT_MARKER, FIRST_TURN_TAG, NEGATIONS, NOISE_MARKERS, PROTECTED_MARKERS, STOP_WORDS, TURN_TAGS
 from tidepool.functions.text import PUNCTUATION, SPACE
 from tidepool.operators.journal import CONFIRMED, CORRECTED
-from tidepool.plans.inputs import AS_OF, KEYWORD, KEYWORDS, OWNER, SEEDS
+from tidepool.plans.inputs import AS_OF, KEYWORD, KEYWORDS, OWNER, PROMPTS, SEEDS
 
 
 def _any(column: str, words: tuple[str, ...]) -> str:
@@ -170,6 +170,15 @@ def statements() -> dict[str, str]:
       c2 AS (SELECT qid, parent, (SELECT count(*) FROM l1 WHERE l1.qid = f2.qid) + coalesce(sum(count(*)) OVER (PARTITION BY qid ORDER BY parent {before}), 0) AS earlier FROM f2 GROUP BY qid, parent),
       l2 AS (SELECT f2.qid, (earlier + row_number() OVER (PARTITION BY f2.qid, f2.parent ORDER BY adj_ord))::BIGINT AS place, node, relation, 2::BIGINT AS depth FROM f2 JOIN c2 ON c2.qid = f2.qid AND c2.parent = f2.parent WHERE earlier < 8)
       SELECT * FROM l1 UNION ALL SELECT * FROM l2"""
+    sense = q["graph_sense"].replace("SELECT gold_id AS qid, lower(context) AS x FROM gold WHERE context IS NOT NULL", "SELECT qid, lower(text) AS x FROM texts")
+    walk = f"WITH {_ADJ}, seeds AS (SELECT qid, rank, node FROM hits), s AS (" + q["graph_walk"].split("), s AS (", 1)[1]
+    q["prefetch"] = f"""WITH texts(qid, text) AS (VALUES {', '.join(f"({a}::BIGINT, '{b}')" for a, b in PROMPTS)}), hits AS ({sense}), near AS ({walk}),
+      told AS (SELECT qid, rank AS place, title FROM hits UNION ALL SELECT qid, place + 1000000, coalesce(nullif(title, ''), id, node) FROM near LEFT JOIN nodes ON id = node),
+      asked AS (SELECT qid, title, min(place) AS place, 3 AS most FROM told GROUP BY qid, title UNION ALL SELECT qid, text, 0, 5 FROM texts WHERE text <> '' AND qid NOT IN (SELECT qid FROM hits)),
+      keywords AS (SELECT DISTINCT title AS keyword FROM asked), ph AS {_FTS.split(", ph AS ", 1)[1]},
+      found AS (SELECT keyword, rank, id FROM ranked WHERE rank <= 5 UNION ALL SELECT keyword, rank, id FROM scan WHERE rank <= 5 AND keyword NOT IN (SELECT keyword FROM ranked)),
+      e AS (SELECT qid, id, min(place * 1000 + rank) AS first FROM asked JOIN found ON title = keyword WHERE rank <= most GROUP BY qid, id)
+      SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY first, id) AS rank, id FROM e QUALIFY row_number() OVER (PARTITION BY qid ORDER BY first, id) <= 5"""
     step = "SELECT p.qid, h.neighbour AS node, sum(p.strength * h.share * 0.5::DOUBLE) AS strength FROM {0} p JOIN sh h ON h.node = p.node GROUP BY p.qid, h.neighbour"
     q["spread"] = f"""WITH {_ADJ}, dg AS (SELECT node, count(*) AS d FROM adj GROUP BY node), sh AS (SELECT node, neighbour, count(*) / max(d)::DOUBLE AS share FROM adj JOIN dg USING (node) GROUP BY node, neighbour),
       p0(qid, node, strength) AS (VALUES (0::BIGINT, 'n0', 1.0::DOUBLE), (0, 'n5', 0.5), (1, 'n7', 1.0) UNION ALL SELECT 1000 + ord, id, 1.0 FROM nodes WHERE ord % 100 = 0), p1 AS ({step.format('p0')}), p2 AS ({step.format('p1')})
