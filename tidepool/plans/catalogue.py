@@ -408,7 +408,8 @@ def graph_walk(spark, folder):
 
 @query
 def prefetch(spark, folder):
-    texts = spark.createDataFrame(list(PROMPTS), "qid bigint, text string")
+    some = _read(spark, folder, "gold").where("gold_id % 100 = 0").select((F.col("gold_id") + 1000).alias("qid"), F.col("context").alias("text"))
+    texts = spark.createDataFrame(list(PROMPTS), "qid bigint, text string").union(some)
     return recall.prefetch(texts, _memories(spark, folder), _nodes(spark, folder), graph.adjacency(_edges(spark, folder)), OWNER)
 
 

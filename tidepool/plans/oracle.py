@@ -172,7 +172,7 @@ def statements() -> dict[str, str]:
       SELECT * FROM l1 UNION ALL SELECT * FROM l2"""
     sense = q["graph_sense"].replace("SELECT gold_id AS qid, lower(context) AS x FROM gold WHERE context IS NOT NULL", "SELECT qid, lower(text) AS x FROM texts")
     walk = f"WITH {_ADJ}, seeds AS (SELECT qid, rank, node FROM hits), s AS (" + q["graph_walk"].split("), s AS (", 1)[1]
-    q["prefetch"] = f"""WITH texts(qid, text) AS (VALUES {', '.join(f"({a}::BIGINT, '{b}')" for a, b in PROMPTS)}), hits AS ({sense}), near AS ({walk}),
+    q["prefetch"] = f"""WITH texts(qid, text) AS (VALUES {', '.join(f"({a}::BIGINT, '{b}')" for a, b in PROMPTS)} UNION ALL SELECT 1000 + gold_id, context FROM gold WHERE gold_id % 100 = 0), hits AS ({sense}), near AS ({walk}),
       told AS (SELECT qid, rank AS place, title FROM hits UNION ALL SELECT qid, place + 1000000, coalesce(nullif(title, ''), id, node) FROM near LEFT JOIN nodes ON id = node),
       asked AS (SELECT qid, title, min(place) AS place, 3 AS most FROM told GROUP BY qid, title UNION ALL SELECT qid, text, 0, 5 FROM texts WHERE text <> '' AND qid NOT IN (SELECT qid FROM hits)),
       keywords AS (SELECT DISTINCT title AS keyword FROM asked), ph AS {_FTS.split(", ph AS ", 1)[1]},
