@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from tidepool.llm import alike
 from tidepool.llm.canonical import compile_table, transducer
-from tidepool.llm.queries import p5_found
+from tidepool.llm.queries import p5_forms, p5_found
 
 SAME = [
     ("hello 1", "ｈｅｌｌｏ　１"), ("é", "é"), ("ü", "ü"), ("ガ", "ｶﾞ"), ("パ", "パ"), ("abc", "a​b﻿c­"), ("a b", "a b"), ("a b", "a b"), ("paypal", "раураl"),
@@ -63,3 +63,14 @@ def test_short_memories_are_in_no_pair_but_short_contexts_are(spark, tmp_path):
 def test_consistent_column(spark):
     df = spark.createDataFrame([("ａ",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(alike.consistent("t")).collect()] == ["a", None, ""]
+
+
+def test_tabs_are_kept_apart_from_blanks(spark, tmp_path):
+    texts = ["one\ttwo three four", "one two three four", "ｏne two\u2003three four", "ｏne\ttwo three\u2003four", "e\u0301\t\u0301x ёlement of ｗidth", "é\t\u0301x ёlement of width"]
+    spark.createDataFrame(list(enumerate(texts)), "id bigint, content string").write.parquet(f"{tmp_path}/memories.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "gold_id bigint, context string").write.parquet(f"{tmp_path}/gold.parquet")
+    got = sorted(tuple(r) for r in p5_found(spark, str(tmp_path)).collect())
+    assert got == [(src, a, b) for src in ("gold", "memories") for a, b in ((0, 3), (1, 2), (4, 5))]
+    forms = {r.id: r.form for r in p5_forms(spark, str(tmp_path)).where("src = 'memories'").collect()}
+    assert forms[0] == forms[3] == texts[0] and forms[1] == forms[2] == texts[1] and forms[4] == forms[5]
+    assert all(transducer().shown(x) == x for x in forms.values())

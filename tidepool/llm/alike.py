@@ -19,13 +19,13 @@ def consistent(text: Column | str) -> Column:
     """The consistent form of a text column; null stays null and the empty text stays empty.
 
     Full and half width variants, accents after their letter, marks without width, blanks of any
-    width, tabs among them, and look-alike letters of other scripts are rewritten; case, accents, the
-    number of blanks, line breaks and raised or circled digits stay as they are.
+    width and look-alike letters of other scripts are rewritten; case, accents, the number of
+    blanks, line breaks, tabs and raised or circled digits stay as they are.
     """
 
     @F.arrow_udf(T.StringType())
     def forms(texts: pa.Array) -> pa.Array:
-        form = transducer().form
+        form = transducer().shown
         return pa.array([None if x is None else form(x) for x in texts.to_pylist()], pa.string())
 
     return forms(text)
@@ -33,7 +33,7 @@ def consistent(text: Column | str) -> Column:
 
 def _digested(least_core: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form, core = transducer().form, transducer().core
+        form, core = transducer().shown, transducer().core
         for batch in batches:
             if least_core:
                 batch = batch.filter(pa.array([len(core(x)) >= least_core for x in batch.column(1).to_pylist()], pa.bool_()))

@@ -19,7 +19,7 @@ GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳ", "ABEZHIKMNOPTYXoj", strict=
 ARMENIAN = dict(zip("ՕՍօսցհոզ", "OUoughnq", strict=True))
 LOOK_ALIKES = CYRILLIC | GREEK | ARMENIAN
 
-#: A tab is a blank like any other; other characters below 0x80 stay.
+#: form() reads a tab as a blank, shown() keeps it; other characters below 0x80 stay.
 _TAB = 0x09
 _CODES = [_TAB, *range(0x80, 0x30000), *range(0xE0000, 0xE0200)]
 #: Marks without width that are not of category Cf.
@@ -106,6 +106,10 @@ class Transducer:
             return self.changed.sub(self._shift, text)
         return self.cluster.sub(self._read, text)
 
+    def shown(self, text: str) -> str:
+        """The consistent form with tabs kept: they are white space, but no blank of some width."""
+        return "\t".join(map(self.form, text.split("\t"))) if "\t" in text else self.form(text)
+
     def core(self, text: str) -> str:
         """The consistent form in lower case, letters and digits only."""
         return _DROPPED.sub("", self.form(text).lower())
