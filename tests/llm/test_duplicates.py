@@ -211,6 +211,48 @@ def test_entries_whose_links_fall_away_are_searched_whole(spark, tmp_path, monke
     assert usual == found("b")
 
 
+def test_pairs_told_apart_without_their_runs_are_not_alike():
+    rnd = random.Random(4)
+    texts = [sentence(rnd, n) for n in (1, 3, 8, 12) for _ in range(15)] + ["", "ab", "abc", "ab" * 300]
+    texts = [sketch.transducer().core(x) for x in texts + [x[: len(x) * 4 // 5] for x in texts] + [x[9:] + x[:5] for x in texts]] + ["".join(chr(0x4E00 + rnd.randrange(9000)) for _ in range(50_000))]
+    i, j = (x.ravel() for x in np.indices((len(texts),) * 2))
+    kept = sketch._may_be_alike(texts, i, j, 0.6)
+    alike = np.array([sketch.likeness_of(texts[a], texts[b]) >= 0.6 for a, b in zip(i, j, strict=True)])
+    assert alike.sum() > len(texts) and kept[alike].all()
+    assert kept.sum() < 1.2 * alike.sum()
+
+
+def test_a_candidate_is_verified_once_and_by_tasks_for_the_number_of_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(forest, "FIRST", 1)
+    monkeypatch.setattr(forest, "GROWTH", 4)
+    monkeypatch.setattr(forest, "PAIRS", 20)
+    asked, parts, verified = [], [], sketch.verified
+
+    def told(pairs, *more):
+        asked.append([(r.a, r.b) for r in pairs.collect()])
+        parts.append(pairs.rdd.getNumPartitions())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(sketch, "verified", told)
+    rnd = random.Random(5)
+    base = sentence(rnd, 12).split("，")
+    # texts that share about half of their clauses pass the sketches in number, and few are duplicates
+    rows = [("，".join([*base[:7], sentence(rnd, 5)]), i, i, "o") for i in range(120)]
+    df = spark.createDataFrame(rows, "text string, id bigint, at bigint, owner string")
+    found = {r.id for r in forest.HashForest(spark, f"file://{tmp_path}/forest").ingest(df, keep=False).collect()}
+    pairs = [x for xs in asked for x in xs]
+    assert len(asked) > 1 and len(pairs) > 100 and len(pairs) == len(set(pairs))
+    assert all(n > len(xs) // 20 for n, xs in zip(parts, asked, strict=True))
+    accepted, expected = [], set()
+    for text, i, _, _ in rows:
+        core = sketch.transducer().core(text)
+        if any(sketch.likeness_of(core, x) >= 0.6 for x in accepted):
+            expected.add(i)
+        else:
+            accepted.append(core)
+    assert found <= expected and len(expected - found) <= 0.05 * len(expected)
+
+
 def test_times_in_any_form_and_session_zone(spark):
     forms = {"2026-03-29 02:30:00": 0, "2026/03/29 02:30:00": 0, "2026-03-29T02:30:00.250": 250_000, " 2026-03-29 02:30:00 ": 0, "yesterday": None, "": None, None: None, "2026-13-01 00:00:00": None}
     zone = spark.conf.get("spark.sql.session.timeZone")

@@ -35,6 +35,8 @@ FAN = 4
 PART_ROWS, PART_CORES, GROUP_BYTES = 500_000, 50_000, 1 << 18
 #: Links up to which duplicates among a batch's own entries are resolved in one task (24 bytes each).
 ONE_TASK = 2_000_000
+#: Candidate pairs that one task verifies.
+PAIRS = 10_000
 _KEYS = [f"t{i}" for i in range(TREES)]
 _INDEX = ["tree", "key", "id", "s1", "s2"]
 _ROW = "id bigint, at bigint, batch int, g1 bigint, g2 bigint, " + ", ".join(f"{x} bigint" for x in [*_KEYS, "s1", "s2"]) + ", core string"
@@ -200,8 +202,11 @@ class HashForest:
         found, path = cut(rows, "forest-candidates")
         return found.where("b IS NOT NULL"), path, seen.get
 
-    def _verified(self, found: DataFrame, entries: DataFrame, own: int) -> DataFrame:
-        """(a, b, old) of the candidates whose exact likeness is enough; of the history's cores only theirs are read."""
+    def _verified(self, found: DataFrame, entries: DataFrame, own: int, n: int) -> DataFrame:
+        """(a, b, old) of the candidates whose exact likeness is enough; of the history's cores only theirs are read.
+
+        The n candidates are few bytes and much work, so tasks are made by their number.
+        """
         runs = list(self.runs)
         part = F.lit(0)
         for i, r in enumerate(runs):
@@ -222,7 +227,7 @@ class HashForest:
         asked = found.where(F.col("run") < own).select("run", part.alias("part"), "b").distinct()
         old = asked.repartition("run", "part").sortWithinPartitions("run", "part", "b").mapInArrow(run, "b bigint, core string")
         mine = entries.select("id", "core")
-        pairs = found.select("a", "b", (F.col("run") < own).alias("old"))
+        pairs = found.select("a", "b", (F.col("run") < own).alias("old")).repartition(1 + n // PAIRS, "a").sortWithinPartitions("a")
         return sketch.verified(pairs, mine, old.union(mine), self.least).distinct()
 
     def ingest(self, records: DataFrame, keep: bool = True) -> DataFrame:
@@ -259,14 +264,16 @@ class HashForest:
         own = Run(new_path(self.spark, "own"), n, splits, 0)
         self._open.append(own.path)
         self._indexed(entries, splits, f"{own.path}/index", "at")
-        first, links, cases, wanted, capped, self.bytes_read = FIRST, None, None, None, None, 0
+        first, links, verified, cases, wanted, capped, self.bytes_read = FIRST, None, None, None, None, None, 0
         while True:
             found, path, told = self._candidates(own, first, wanted)
             self._open.append(path)
             self.bytes_read += told["read"] or 0
             if told["pairs"]:
                 counted = Observation()
-                good = self._verified(found, entries, len(self.runs))
+                fresh = found if verified is None else found.join(verified, ["a", "b"], "left_anti")
+                good = self._verified(fresh, entries, len(self.runs), told["pairs"])
+                verified = found.select("a", "b") if verified is None else verified.union(fresh.select("a", "b"))
                 good = (good if links is None else links.union(good).distinct()).observe(counted, F.count_if(~F.col("old")).alias("fresh"))
                 links, path = cut(good, "links")
                 self._open.append(path)
@@ -453,7 +460,9 @@ def _search(index: list[_Index], tree: int, columns: list[np.ndarray], shifts: l
                     for which, place, _ in _steps(lo, hi):
                         entry = asked[which]
                         bits = np.bitwise_count((s1[entry] ^ r1[place]).view(np.uint64)) + np.bitwise_count((s2[entry] ^ r2[place]).view(np.uint64))
-                        ok = (bits <= most) & (r_id[place] != ids[entry])
+                        ok = np.flatnonzero(bits <= most)
+                        which, entry, place, bits = which[ok], entry[ok], place[ok], bits[ok]
+                        ok = r_id[place] != ids[entry]
                         if run.own:
                             ok &= (r_at[0][place] < at[entry]) | (r_at[0][place] == at[entry]) & (r_id[place] < ids[entry])
                         which, entry, place, bits = which[ok], entry[ok], place[ok], bits[ok]
@@ -520,6 +529,7 @@ def repeated_memories(memories: DataFrame, batches: DataFrame, folder: str) -> D
     forest = HashForest(spark, folder)
     numbers = sorted(r[0] for r in batches.select(F.col("batch_no").cast("int")).where("batch_no IS NOT NULL").distinct().collect())
     history, path = cut(first_of_class(rows.where("batch = 0")), "history")
+    drop(spark, f"{landed}/batch=0")
     forest.append(history, history.count())
     drop(spark, path)
     spark.createDataFrame([], "id bigint").write.parquet(f"{answers}/batch_no=0")

@@ -26,6 +26,8 @@ MIN_CORE = 12
 SLOTS = 1 << 16
 #: Coordinates of a signature; their lowest bits are the 128 bits of the sketch.
 WIDTH = 128
+#: Classes of runs by which pairs that cannot be alike are told before their runs are compared.
+MAP = 2048
 
 
 @lru_cache(maxsize=1)
@@ -138,6 +140,44 @@ def likeness_of(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both) if x or y else 0.0
 
 
+def _maps(cores: list[str]) -> np.ndarray:
+    """For each core a bit for each of MAP classes of runs, set if a run of it is in that class."""
+    out, start = np.zeros((len(cores), MAP // 64), np.uint64), 0
+    while start < len(cores):
+        end = size = 0
+        # blocks of bounded size
+        for end in range(start, min(start + 2048, len(cores))):
+            size += len(cores[end])
+            if size > 4_000_000:
+                break
+        block = [i for i in range(start, end + 1) if len(cores[i]) >= GRAM]
+        if block:
+            slots, counts = gram_slots([cores[i] for i in block])
+            flags = np.zeros((len(block), MAP), bool)
+            flags[np.repeat(np.arange(len(block)), counts), slots % MAP] = True
+            out[block] = np.packbits(flags, axis=1).view(np.uint64)
+        start = end + 1
+    return out
+
+
+def _may_be_alike(cores: list[str], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether the pairs of cores i and j can have that likeness: never False for one that has it.
+
+    A class of runs that only one core has holds a run that only it has, so with p and q such classes
+    of the two, and at most n and m runs, at most k = min(n - p, m - q) runs are in both, and the
+    likeness is at most k / (k + p + q).
+    """
+    maps, runs = _maps(cores), np.array([max(len(x) - GRAM + 1, 0) for x in cores], np.int64)
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 8192):
+        a, b = i[at : at + 8192], j[at : at + 8192]
+        p = np.bitwise_count(maps[a] & ~maps[b]).sum(axis=1, dtype=np.int64)
+        q = np.bitwise_count(maps[b] & ~maps[a]).sum(axis=1, dtype=np.int64)
+        k = np.minimum(runs[a] - p, runs[b] - q)
+        out[at : at + 8192] = (k > 0) & (k / np.maximum(k + p + q, 1) >= least)
+    return out
+
+
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float, cores: bool = True) -> DataFrame:
     """The pairs (a, b, ...) whose exact likeness is at least ``least``.
 
@@ -150,23 +190,28 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float,
     n = len(pairs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set[str]] = {}
+        known: dict[int, set[str]] = {}
         core = str if cores else transducer().core
 
-        def grams(text: str) -> set[str]:
-            if text not in known:
+        def grams(i: int) -> set[str]:
+            if i not in known:
                 if len(known) >= 2048:
                     known.clear()
-                s = core(text)
-                known[text] = {s[i : i + GRAM] for i in range(len(s) - GRAM + 1)}
-            return known[text]
+                s = read[i]
+                known[i] = {s[j : j + GRAM] for j in range(len(s) - GRAM + 1)}
+            return known[i]
 
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for i, (x, y) in enumerate(zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)):
-                p, q = grams(x), grams(y)
+            # each text of a batch is read once, however many pairs it is in
+            x, y = (batch.column(i).dictionary_encode() for i in (n, n + 1))
+            read = [core(t) for t in x.dictionary.to_pylist() + y.dictionary.to_pylist()]
+            i, j = x.indices.to_numpy(), y.indices.to_numpy() + len(x.dictionary)
+            known.clear()
+            good = _may_be_alike(read, i, j, least)
+            for k in np.flatnonzero(good).tolist():
+                p, q = grams(int(i[k])), grams(int(j[k]))
                 both = len(p & q)
-                score[i] = both / (len(p) + len(q) - both)
-            yield batch.select(range(n)).filter(pa.array(score >= least))
+                good[k] = both / (len(p) + len(q) - both) >= least
+            yield batch.select(range(n)).filter(pa.array(good))
 
     return texts.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in pairs.dtypes))
